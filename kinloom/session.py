@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of every executor, once per application.
+
+    Functions that run in workers are found by name there, so a session that was
+    started without the package on the workers' path can use them too.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="kinloom-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(here.rglob("*.py")):
+            z.write(file, file.relative_to(here.parent))
+    context.addPyFile(str(archive))  # the driver serves it to the executors
+    _SHIPPED.add(context.applicationId)
+
 
 def local_session(cpus: int | str = "*", *, partitions: int = 8, memory: str = "6g") -> SparkSession:
     """A local session: UTC, AQE with skew handling, Arrow, no UI."""
