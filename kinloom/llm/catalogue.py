@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from kinloom.llm import survivor_queries, visual_queries
+from kinloom.llm import (
+    annotator_queries,
+    component_queries,
+    packing_queries,
+    survivor_queries,
+    token_queries,
+    visual_queries,
+)
 
-_MODULES = (survivor_queries, visual_queries)
+_MODULES = (survivor_queries, component_queries, visual_queries, annotator_queries, token_queries, packing_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
