@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from kinloom.plans import skew
+from kinloom.plans import linkage, linkage_sql, skew
 
-FLAGSHIP = "p1_surname_profile"
-QUERIES = {**skew.QUERIES}
-ORACLES = {**skew.ORACLES}
+FLAGSHIP = "q_tier_counts"
+QUERIES = {**skew.QUERIES, **linkage.QUERIES}
+
+
+def oracles() -> dict[str, str]:
+    return {**skew.ORACLES, **linkage_sql.oracles()}
