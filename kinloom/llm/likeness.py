@@ -92,10 +92,12 @@ def romanised(a: str, b: str) -> str:
         return "A" if not initials else ("P" if full >= 2 else "I")
     if not left or not right:
         return "P" if full >= 2 or (full and initials) else ("I" if full or initials else "U")
-    if indel(whole_a, whole_b) >= 0.8:
-        return "P"
     own_a = [x for x in left if len(x) > 1 and not (given_a and x in surname_a.split())]
     own_b = [x for x in right if len(x) > 1 and not (given_b and x in surname_b.split())]
+    if full and own_a and own_b and indel("".join(own_a), "".join(own_b)) < 0.6:
+        return "D"
+    if indel(whole_a, whole_b) >= 0.8:
+        return "P"
     if full and own_a and own_b:
         return "D"
     if full >= 2 and not (own_a and own_b):
@@ -151,24 +153,29 @@ def _one_email(a: str, b: str) -> int:
     return 40 if indel(a, b) >= 0.8 else 0
 
 
-def _best(a: str, b: str, one) -> int:
-    if not a or not b:
-        return MISSING
-    if a == b:
-        return 100
-    if ";" not in a and ";" not in b:
-        return one(a, b)
+def _several(a: str, b: str, one) -> int:
     return max(100 if x == y else one(x, y) for x in a.split(";") for y in b.split(";"))
 
 
+def _one_phone(a: str, b: str) -> int:
+    return 0
+
+
 def likeness(a: tuple[str, ...], b: tuple[str, ...], sounds: dict[str, str]) -> tuple[int, int, int, int]:
     """(name, phone, email, birthday) of two profiles (c, e, p, m, b)."""
-    return (
-        name(a[0], b[0], a[1], b[1], sounds),
-        _best(a[2], b[2], lambda x, y: 0),
-        _best(a[3], b[3], _one_email),
-        _best(a[4], b[4], _one_birthday),
-    )
+    ca, ea, *rest_a = a
+    cb, eb, *rest_b = b
+    out = [100 if ca == cb and len(ca) > 1 and ";" not in ca else name(ca, cb, ea, eb, sounds)]
+    for x, y, one in zip(rest_a, rest_b, (_one_phone, _one_email, _one_birthday), strict=True):
+        if not x or not y:
+            out.append(MISSING)
+        elif x == y:
+            out.append(100)
+        elif ";" in x or ";" in y:
+            out.append(_several(x, y, one))
+        else:
+            out.append(one(x, y))
+    return tuple(out)
 
 
 def likeness_columns(sounds) -> object:

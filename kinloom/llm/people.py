@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from kinloom.llm.survivor import usable_phone
 from kinloom.sources.stage import Stage
 
 PROFILE = ("c", "e", "p", "m", "b")
+#: One id in so many goes into the sample that tells hot keys.
+SAMPLED = 16
 #: Most members of a block that are compared with each other; larger blocks are parted by further attributes.
 BLOCK_BOUND = 100
 #: Keys or profiles (measured, at most 40 bytes each) up to this number are broadcast, more are joined by shuffle.
@@ -21,14 +26,16 @@ BROADCAST_ROWS = 150_000
 
 
 def _han_name(spark, surname: Column, given: Column) -> Column:
-    a, b = han_fold()
-    c, d = simplified_table(spark)
-    plain = F.translate(F.translate(F.concat(F.coalesce(surname, F.lit("")), F.coalesce(given, F.lit(""))), a, b), c, d)
-    return F.regexp_replace(plain, r"[^\x{3400}-\x{9FFF}\x{20000}-\x{323AF}]+", "")
+    both = F.concat(F.coalesce(surname, F.lit("")), F.coalesce(given, F.lit("")))
+    odd = both.rlike(r"[^\x{4E00}-\x{9FFF}]")
+    folded = F.when(odd, F.regexp_replace(F.translate(both, *han_fold()), r"[^\x{3400}-\x{9FFF}\x{20000}-\x{323AF}]+", "")).otherwise(both)
+    return F.translate(folded, *simplified_table(spark))
 
 
 def _roman(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), *latin_fold())), "[^a-z]+", " "))
+    text = F.coalesce(c, F.lit(""))
+    plain = F.lower(F.when(text.rlike(r"[^\x{0}-\x{7F}]"), F.translate(text, *latin_fold())).otherwise(text))
+    return F.when(plain.rlike("[^a-z]"), F.trim(F.regexp_replace(plain, "[^a-z]+", " "))).otherwise(plain)
 
 
 def _email_name(c: Column) -> Column:
@@ -42,7 +49,7 @@ def _birth(c: Column, modified: Column) -> Column:
     """Date as yyyymmdd text; a year after ``modified`` is a century late; from 1901 on."""
     day = birthday_date(c)
     day = F.when(F.year(day) > F.year(F.coalesce(modified, F.current_timestamp())), F.add_months(day, -1200)).otherwise(day)
-    return F.when(F.year(day) > 1900, F.date_format(day, "yyyyMMdd"))
+    return F.when(F.year(day) > 1900, F.replace(day.cast("string"), F.lit("-"), F.lit("")))
 
 
 def registration_profiles(master: DataFrame) -> DataFrame:
@@ -64,8 +71,15 @@ def registration_profiles(master: DataFrame) -> DataFrame:
     )
     blank = (F.col("_s") == "") & (F.col("_g") == "")
     rows = rows.withColumn("c", F.nullif("c", F.lit(""))).withColumn("e", F.when(~blank, F.concat_ws("|", "_s", "_g")))
-    sets = rows.groupBy("source", "ccd_source_key").agg(*(F.array_join(F.sort_array(F.collect_set(x)), ";").alias(x) for x in PROFILE))
-    return sets.select(F.xxhash64("source", "ccd_source_key").alias("id"), "source", "ccd_source_key", *PROFILE)
+    # one list for all attributes: most registrations have a single distinct row
+    seen = rows.groupBy("source", "ccd_source_key").agg(F.collect_set(F.struct(*PROFILE)).alias("_seen"))
+    first = F.col("_seen")[0]
+
+    def spellings(x: str) -> Column:
+        several = F.array_join(F.sort_array(F.array_distinct(F.filter(F.transform("_seen", lambda r: r[x]), lambda v: v.isNotNull()))), ";")
+        return F.when(F.size("_seen") == 1, F.coalesce(first[x], F.lit(""))).otherwise(several)
+
+    return seen.select(F.xxhash64("source", "ccd_source_key").alias("id"), "source", "ccd_source_key", *(spellings(x).alias(x) for x in PROFILE))
 
 
 def _items(c: str) -> Column:
@@ -77,24 +91,55 @@ def _tokens(e: Column) -> Column:
     return F.filter(F.split(F.translate(e, "|", " "), " "), lambda x: x != "")
 
 
-def _cross(tag: str, xs: Column, ys: Column, make) -> Column:
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.xxhash64(F.lit(tag), *make(x, y)))))
+def _name_parts(c: Column) -> list[Column]:
+    """Surname with the first and with the last character of the given name."""
+    return [F.when(F.length(c) > 1, F.left(c, F.lit(2))), F.when(F.length(c) > 2, F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1))))]
 
 
-def block_keys() -> Column:
-    """All keys of a profile: phone; e-mail; birthday with surname; full name with year or with month and day."""
-    c, e, p, m, b = map(_items, PROFILE)
-    sorted_roman = F.transform(e, lambda x: F.array_join(F.array_sort(_tokens(x)), ""))
-    heads = F.array_union(F.transform(c, lambda x: F.left(x, F.lit(1))), F.transform(e, lambda x: F.get(_tokens(x), F.lit(0))))
-    whole = F.array_union(c, sorted_roman)
-    keys = F.concat(
-        F.transform(p, lambda x: F.xxhash64(F.lit("p"), x)),
-        F.transform(m, lambda x: F.xxhash64(F.lit("m"), x)),
-        _cross("b", b, heads, lambda x, y: (x, y)),
-        _cross("d", whole, b, lambda x, y: (x, F.substring(y, 5, 4))),
-        _cross("y", whole, b, lambda x, y: (x, F.left(y, F.lit(4)))),
-    )
-    return F.array_distinct(keys)
+def _whole(c: Column, e: Column) -> Column:
+    """Han name, or the romanised one where there is no whole one."""
+    return F.when(F.length(c) > 1, c).otherwise(e)
+
+
+def _hash(scope: Column, tag: str, *parts: Column) -> Column:
+    known = parts[0].isNotNull() & (parts[0] != "")
+    for x in parts[1:]:
+        known = known & x.isNotNull() & (x != "")
+    return F.when(known, F.xxhash64(scope, F.lit(tag), *parts))
+
+
+def _keys_of(scope: Column, c: Column, e: Column, p: Column, m: Column, b: Column) -> Column:
+    """The keys of one spelling of each attribute; null where an attribute is blank."""
+    parts = [_hash(scope, "p", p), _hash(scope, "m", m)]
+    parts += [_hash(scope, "b", b, x) for x in (*_name_parts(c), F.translate(e, "| ", ""))]
+    parts += [_hash(scope, "d", _whole(c, e), F.substring(b, 5, 4)), _hash(scope, "y", _whole(c, e), F.left(b, F.lit(4)))]
+    return F.array(*parts)
+
+
+def block_keys(profiles: DataFrame, scope: Column | None = None) -> DataFrame:
+    """Distinct (id, key): phone; e-mail; birthday with part of a name; full name with year, or with month and day.
+
+    ``scope`` goes into every key, so that only profiles of one scope meet.  Profiles
+    with several spellings get the keys of every combination of name and birthday;
+    the others, nearly all, take a path that is compiled as a whole.
+    """
+    scope = F.lit("") if scope is None else scope
+    single = ~F.concat(*(F.col(x) for x in PROFILE)).contains(";")
+    plain = profiles.filter(single).select("id", F.explode(_keys_of(scope, *(F.col(x) for x in PROFILE))).alias("key")).filter("key IS NOT NULL")
+
+    def options(c: str) -> Column:
+        items = _items(c)
+        return F.when(F.size(items) == 0, F.array(F.lit(""))).otherwise(items)
+
+    cc, ee, pp, mm, bb = map(options, PROFILE)
+    none = F.lit("")
+    crossed = F.flatten(F.transform(bb, lambda y: F.flatten(F.concat(
+        F.transform(cc, lambda x: _keys_of(scope, x, none, none, none, y)),
+        F.transform(ee, lambda x: _keys_of(scope, none, x, none, none, y)),
+    ))))
+    apart = F.flatten(F.concat(F.transform(pp, lambda x: _keys_of(scope, none, none, x, none, none)), F.transform(mm, lambda x: _keys_of(scope, none, none, none, x, none))))
+    rich = profiles.filter(~single).select("id", F.explode(F.array_distinct(F.concat(crossed, apart))).alias("key")).filter("key IS NOT NULL")
+    return plain.unionByName(rich)
 
 
 def _further_parts() -> Column:
@@ -110,34 +155,73 @@ def _further_parts() -> Column:
     return F.array_distinct(parts)
 
 
-def _pairs_of(blocks: DataFrame) -> DataFrame:
-    """Pairs (l < r) within bounded lists of ids."""
-    ids = F.sort_array(F.collect_set("id"))
-    lists = blocks.groupBy("key").agg(ids.alias("ids")).filter(F.size("ids") > 1)
-    positions = F.sequence(F.lit(1), F.size("ids") - 1)
-    pairs = F.flatten(F.transform(positions, lambda i: F.transform(F.slice("ids", i + 1, F.size("ids")), lambda r: F.struct(F.element_at("ids", i).alias("l"), r.alias("r")))))
-    return lists.select(F.explode(pairs).alias("p")).select("p.l", "p.r")
-
-
-def candidate_pairs(profiles: DataFrame, stage: Stage, *, bound: int = BLOCK_BOUND, levels: int = 3, keys: DataFrame | None = None) -> DataFrame:
+def _pairs_in_runs(bound: int):
+    """``mapInArrow`` function over rows (key, id) in order: pairs within runs of one key, rows of runs beyond ``bound``."""
+
+    def cut(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+        edges = np.flatnonzero(np.diff(key)) + 1
+        starts = np.concatenate([[0], edges])
+        sizes = np.diff(np.concatenate([starts, [len(key)]]))
+        size = np.repeat(sizes, sizes)
+        left, right = [], []
+        small = size <= bound
+        for d in range(1, int(sizes[sizes <= bound].max(initial=1))):
+            at = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
+            left.append(ids[at])
+            right.append(ids[at + d])
+        over = np.flatnonzero(~small)
+        n = sum(map(len, left))
+        if not n and not len(over):
+            return None
+        large = np.concatenate([np.zeros(n, bool), np.ones(len(over), bool)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*left, key[over]])), pa.array(np.concatenate([*right, ids[over]])), pa.array(large)], names=["l", "r", "large"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            keys, ids = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
+            if not len(keys):
+                continue
+            end = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+            if end:
+                out = cut(keys[:end], ids[:end])
+                keys, ids = keys[end:], ids[end:]
+                if out is not None:
+                    yield out
+        if len(keys) and (out := cut(keys, ids)) is not None:
+            yield out
+
+    return run
+
+
+def candidate_pairs(profiles: DataFrame, stage: Stage, *, bound: int = BLOCK_BOUND, levels: int = 3, keys: DataFrame | None = None, scope: Column | None = None) -> DataFrame:
     """Distinct (l, r), l < r, of profiles that share a key.
 
-    No block is dropped.  One with more than ``bound`` members is parted by each
-    further attribute of its members, up to ``levels`` times: two records that agree
-    in nothing besides such a key could not be matched anyway.  Members of what is
-    still larger then agree in four or more attributes; they are linked in a row.
+    No block is dropped.  A sample of the ids tells which keys are held by very
+    many; these, and all runs found to be longer than ``bound``, are parted by each
+    further attribute of their members, up to ``levels`` times: two records that
+    agree in nothing besides such a key could not be matched anyway.  Members of
+    what is still larger agree in four or more attributes; they are linked in a row.
     """
-    rows = profiles.select("id", F.explode(block_keys()).alias("key")) if keys is None else keys
-    found = []
+    rows = block_keys(profiles, scope) if keys is None else keys
+    found, waiting = [], None
     for level in range(levels + 1):
-        large = stage.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("key"))
-        n = large.count()
-        if not n:
-            found.append(_pairs_of(rows))
+        sampled = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+        hot = stage.write(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(8, bound // 4)).select("key"))
+        n = hot.count()
+        if n:
+            few = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+            waiting = rows.join(few, "key", "left_semi").select("key", "id")
+            rows = rows.join(few, "key", "left_anti")
+        ordered = rows.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+        cut = stage.write(ordered.mapInArrow(_pairs_in_runs(bound), "l bigint, r bigint, large boolean"))
+        found.append(cut.filter("NOT large").select("l", "r"))
+        over = cut.filter("large").select(F.col("l").alias("key"), F.col("r").alias("id"))
+        rest = over if waiting is None else over.unionByName(waiting)
+        waiting = None
+        if not n and over.isEmpty():
             break
-        few = F.broadcast(large) if n <= BROADCAST_ROWS else large
-        found.append(_pairs_of(rows.join(few, "key", "left_anti")))
-        rest = stage.write(rows.join(few, "key", "left_semi"))
+        rest = stage.write(rest)
         if level == levels:
             first = rest.groupBy("key").agg(F.min("id").alias("l"))
             found.append(rest.join(first, "key").filter("id <> l").select("l", F.col("id").alias("r")))
