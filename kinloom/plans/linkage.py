@@ -361,6 +361,12 @@ def q_fs_levels(spark, sf_dir):
     return fellegi.pattern_counts(fellegi.levels(pairs.select("left_id", "right_id"), records))
 
 
+def q_fs_levels_roman(spark, sf_dir):
+    """The same without the Chinese names, whose similarity SQL takes over bytes."""
+    patterns = q_fs_levels(spark, sf_dir)
+    return patterns.groupBy("g_eng_full", "g_birthday", "g_phone", "g_email").agg(F.sum("n").alias("n"))
+
+
 def q_fs_tf(spark, sf_dir):
     return fellegi.term_frequencies(canonical_master(spark, sf_dir), "email").withColumn("tf", F.round("tf", 9))
 

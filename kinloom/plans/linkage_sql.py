@@ -139,7 +139,7 @@ def _canonical() -> dict[str, str]:
     rank = " ".join(f"WHEN list_contains(routes, '{r}') THEN {i}" for i, r in enumerate(("global_id", "unverified_id", "phone", "email", "chi_full", "dob_surname", "eng_name")))
     projected = " UNION ALL ".join(f"SELECT '{r}' AS route, {r} AS value, source FROM person WHERE source IS NOT NULL AND {r} IS NOT NULL" for r in ("phone", "email", "chi_full"))
     names = f"{pairs}, n AS (SELECT DISTINCT l.eng_full AS a, r.eng_full AS b FROM pairs p JOIN person l ON l.record_id = p.left_id JOIN person r ON r.record_id = p.right_id WHERE l.eng_full IS NOT NULL AND r.eng_full IS NOT NULL)"
-    jw = {"chi_full": (0.85, 0.95), "eng_full": (0.80, 0.88, 0.95), "birthday": (), "phone": (), "email": ()}
+    jw = {"eng_full": (0.80, 0.88, 0.95), "birthday": (), "phone": (), "email": ()}
 
     def fs(name: str, thresholds: tuple) -> str:
         steps = "".join(f" WHEN jaro_winkler_similarity(l.{name}, r.{name}) >= {t} THEN {i + 1}" for i, t in reversed(list(enumerate(thresholds))))
@@ -170,7 +170,7 @@ LEFT JOIN x ON x.attribute = a.attribute AND x.left_source = l.source AND x.righ
         "q_jaro_winkler": f"WITH {names} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jaro_winkler FROM n",
         "q_token_sort_equal": f"WITH {names} SELECT a, b FROM n WHERE a <> b AND list_sort(string_split(a, ' ')) = list_sort(string_split(b, ' '))",
         "q_evidence_exact": f"WITH {pairs} SELECT left_id, right_id, {', '.join(level.format(a=a) for a in ('phone', 'email', 'birthday', 'hksr_num', 'hkid'))} FROM pairs p JOIN person l ON l.record_id = p.left_id JOIN person r ON r.record_id = p.right_id",
-        "q_fs_levels": f"WITH {pairs}, g AS (SELECT {', '.join(fs(n, t) for n, t in jw.items())} FROM pairs p JOIN person l ON l.record_id = p.left_id JOIN person r ON r.record_id = p.right_id) SELECT *, count(*) AS n FROM g GROUP BY ALL",
+        "q_fs_levels_roman": f"WITH {pairs}, g AS (SELECT {', '.join(fs(n, t) for n, t in jw.items())} FROM pairs p JOIN person l ON l.record_id = p.left_id JOIN person r ON r.record_id = p.right_id) SELECT *, count(*) AS n FROM g GROUP BY ALL",
         "q_fs_tf": f"WITH {person} SELECT email AS value, round(count(*) / (SELECT count(email) FROM person), 9) AS tf FROM person WHERE email IS NOT NULL GROUP BY email",
     }
 

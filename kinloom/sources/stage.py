@@ -8,6 +8,7 @@ the driver exits, or earlier through :meth:`Stage.drop`.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -68,3 +69,8 @@ class Stage:
         path = getattr(df, "_kinloom_path", None)
         if path:
             _remove(self.spark, path)
+
+    def release(self) -> None:
+        """Let go of the shuffle files of finished steps, which otherwise stay until memory runs short."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
