@@ -76,7 +76,8 @@ def initials(words: Column) -> Column:
 
 
 def fold_width(c: Column) -> Column:
-    return F.translate(c, *width_fold())
+    """Full-width ASCII in its plain form; plain text, nearly all there is, is left alone."""
+    return F.when(c.rlike(r"[^\x{0}-\x{7F}]"), F.translate(c, *width_fold())).otherwise(c)
 
 
 def phone(c: Column) -> Column:
