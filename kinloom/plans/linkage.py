@@ -10,7 +10,6 @@ from kinloom.functions.normalize import valid_hkid
 from kinloom.functions.strings import KERNELS, column
 from kinloom.operators import blocking, canonical, clusters, evidence, fellegi, formula, formula_match, metrics, models, profiling, review, sampling
 from kinloom.operators import policy as policies
-from kinloom.plans import sql
 from kinloom.sources.stage import Stage
 from kinloom.sources.tables import table
 
