@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.strings import column, indel_ratio, token_set_ratio
 from kinloom.operators import formula as fx
+from kinloom.sources.stage import Stage
+
+#: Records of one key on either side that meet in one piece; larger blocks are cut on both sides, piece against piece.
+BLOCK = 2_000
 
 
 def formula_block_keys(df: DataFrame, formula: fx.Formula) -> Column:
@@ -33,36 +37,63 @@ def latest_by_key(df: DataFrame) -> DataFrame:
     return df.groupBy("ccd_source_key").agg(F.max_by(row, F.struct("modified", "record_id")).alias("r")).select("r.*")
 
 
-def match_source(master: DataFrame, source: str, text: str, *, changed: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def prepared(master: DataFrame, formula: fx.Formula) -> DataFrame:
+    """What every record contributes to a formula: its ids, its slots and ``_keys``, its block keys."""
+    ready = fx.prepare(master, formula).withColumn("_keys", formula_block_keys(master, formula))
+    made = [c for c in ready.columns if c.startswith(("_f", "_y"))]
+    return ready.select("record_id", "source", "ccd_source_key", "modified", *made, "_keys")
+
+
+def _meetings(own: DataFrame, others: DataFrame) -> DataFrame:
+    """Every pair of ``own`` (columns l_..) and ``others`` (r_..) that shares a key, once.
+
+    A block is cut into pieces of about ``BLOCK`` records on both sides and every
+    piece meets every other, so a hot key spreads over tasks and loses no pair.  A
+    pair of several common keys is made at the least of them.
+    """
+    sides = {"l": own.withColumn("_key", F.explode("l_keys")), "r": others.withColumn("_key", F.explode("r_keys"))}
+    n = {s: df.groupBy("_key").agg(F.count(F.lit(1)).alias(f"_n{s}")) for s, df in sides.items()}
+    sizes = n["l"].join(n["r"], "_key")
+    pairs = sizes.agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 0
+    tasks = max(2 * own.sparkSession.sparkContext.defaultParallelism, -(-pairs // BLOCK**2))
+    cuts = sizes.select("_key", *(F.ceil(F.col(f"_n{s}") / BLOCK).cast("int").alias(f"_c{s}") for s in "lr"))
+    ready = []
+    for s, o in (("l", "r"), ("r", "l")):
+        piece = F.pmod(F.xxhash64(f"{s}_record_id"), F.col(f"_c{s}")).cast("int")
+        cut = sides[s].join(cuts, "_key").withColumn(f"_p{s}", piece).withColumn(f"_p{o}", F.explode(F.sequence(F.lit(0), F.col(f"_c{o}") - 1)))
+        ready.append(cut.drop("_cl", "_cr").repartition(tasks, "_key", "_pl", "_pr"))
+    met = ready[0].join(ready[1], ["_key", "_pl", "_pr"]).filter(F.array_min(F.array_intersect("l_keys", "r_keys")) == F.col("_key"))
+    return met.drop("_key", "_pl", "_pr", "l_keys", "r_keys")
+
+
+def match_source(master: DataFrame, source: str, text: str, *, changed: DataFrame | None = None, limit: int | None = None, ready: DataFrame | None = None) -> DataFrame:
     """(parent, mas_client, client, client_id, idx, score, match_equation) of one source's records against all others.
 
     ``changed`` (ccd_source_key) restricts the source's records by a semi-join;
     ``limit`` takes the first so many by record_id.  A record of a null or equal
     source is no candidate.  An empty formula matches nothing.  ``idx`` numbers the
-    matches of a parent from the best score down.
+    matches of a parent from the best score down.  ``ready`` is the written
+    :func:`prepared` of ``master``, where it is at hand.
     """
     empty = "parent string, mas_client string, client string, client_id string, idx int, score double, match_equation string"
     if not (text or "").strip():
         return master.sparkSession.createDataFrame([], empty)
     formula = fx.parse(text)
-    own = latest_by_key(master.filter(F.col("source") == source))
+    if ready is None:
+        ready = Stage(master.sparkSession, "formula").write(prepared(master, formula))
+    own = latest_by_key(ready.filter(F.col("source") == source))
     if changed is not None:
         own = own.join(changed.select("ccd_source_key").distinct(), "ccd_source_key", "left_semi")
     if limit is not None:
         own = own.orderBy("record_id").limit(limit)
-    others = master.filter((F.col("source") != source) & (F.col("source") != ""))
-    sides = {}
-    for side, df in (("l", own), ("r", others)):
-        ready = fx.prepare(df, formula).withColumn("_key", F.explode(formula_block_keys(df, formula)))
-        made = [c for c in ready.columns if c.startswith(("_f", "_y"))]
-        sides[side] = ready.select("_key", *(F.col(c).alias(f"{side}_{c}" if not c.startswith("_") else f"{side}{c}") for c in ("record_id", "source", "ccd_source_key", *made)))
-    pairs = sides["l"].join(sides["r"], "_key").drop("_key").dropDuplicates(["l_record_id", "r_record_id"])
-    scored = pairs
-    for i, slot in enumerate(formula.slots):
+    others = ready.filter((F.col("source") != source) & (F.col("source") != ""))
+    sides = [df.select(*(F.col(c).alias(f"{side}{c}" if c.startswith("_") and c != "_keys" else f"{side}_{c.lstrip('_')}") for c in ready.columns if c != "modified")) for side, df in (("l", own), ("r", others))]
+    scored = _meetings(*sides)
+    for i in range(len(formula.slots)):
         scored = scored.withColumn(f"_s{i}", fx.slot_scores(formula)[i])
     scores = [F.col(f"_s{i}") for i in range(len(formula.slots))]
     score, matches = fx.evaluate(formula, scores)
-    found = scored.withColumn("_score", score).filter(matches)
+    found = scored.withColumn("_score", score).filter(matches).dropDuplicates(["l_record_id", "r_record_id"])
     order = Window.partitionBy("l_record_id").orderBy(F.desc("_score"), "r_source", "r_ccd_source_key", "r_record_id")
     return found.select(
         F.col("l_record_id").alias("parent"),
@@ -75,14 +106,24 @@ def match_source(master: DataFrame, source: str, text: str, *, changed: DataFram
     )
 
 
-def match_all(master: DataFrame, registrations: DataFrame, *, limit: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """Matches of every source with a formula, and the sources whose formula failed, with the reason."""
+def match_all(master: DataFrame, registrations: DataFrame, *, changed: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Matches of every source with a formula, and the sources whose formula failed, with the reason.
+
+    ``changed`` (source, ccd_source_key) restricts the records that are matched.
+    Records are prepared once for all formulas of the same slots.
+    """
+    stage, ready = Stage(master.sparkSession, "formula"), {}
     done, failed = [], {}
     for r in registrations.select("source", "fuzzymachingscript").collect():  # a configuration table
+        source, text = r["source"], (r["fuzzymachingscript"] or "").strip()
         try:
-            done.append(match_source(master, r["source"], r["fuzzymachingscript"] or "", limit=limit))
+            slots = fx.parse(text).slots if text else None
+            if text and slots not in ready:
+                ready[slots] = stage.write(prepared(master, fx.parse(text)))
+            own = None if changed is None else changed.filter(F.col("source") == source)
+            done.append(match_source(master, source, text, changed=own, limit=limit, ready=ready.get(slots)))
         except ValueError as problem:
-            failed[r["source"]] = str(problem)
+            failed[source] = str(problem)
     return (reduce(DataFrame.unionByName, done) if done else None), failed
 
 

@@ -328,15 +328,28 @@ def q_components(spark, sf_dir):
 # formulas and the statistical model
 
 
-def _formulas(spark, sf_dir) -> list:
-    return table(spark, sf_dir, "ccd_registration").select("source", "fuzzymachingscript").orderBy("source").collect()  # a configuration table
+def _matches(spark, sf_dir, changed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matches of every source with a formula, and the records whose matches they are; a formula that fails stops the query."""
+    master, registrations = table(spark, sf_dir, "ccd_master"), table(spark, sf_dir, "ccd_registration").filter("trim(coalesce(fuzzymachingscript, '')) <> ''")
+    found, failed = formula_match.match_all(master, registrations, changed=changed)
+    if failed:
+        raise ValueError(f"formulas that cannot be read: {failed}")
+    if found is None:
+        found = formula_match.match_source(master, "", "")
+    return found, master.join(F.broadcast(registrations.select("source").distinct()), "source", "left_semi").select(F.col("record_id").alias("parent"))
 
 
 def q_formula_matches(spark, sf_dir):
-    """The last source with a formula against all others: the run of one centre."""
-    source, text = [(r[0], r[1]) for r in _formulas(spark, sf_dir) if r[1]][-1]
-    found = formula_match.match_source(table(spark, sf_dir, "ccd_master"), source, text)
-    return found.select("parent", "client", "client_id", "idx", "score")
+    """Every source with a formula against all others."""
+    return _matches(spark, sf_dir)[0].select("parent", "client", "client_id", "idx", "score")
+
+
+def q_formula_incremental(spark, sf_dir):
+    """The same for the records modified since the last completed run."""
+    last = table(spark, sf_dir, "ccd_match_evaluation_run").filter("status = 'Completed'").agg(F.max("snapshot_at")).first()[0]
+    master = table(spark, sf_dir, "ccd_master")
+    changed = master if last is None else master.filter(F.col("modified") > F.lit(last))
+    return _matches(spark, sf_dir, changed.select("source", "ccd_source_key"))[0].select("parent", "client", "client_id", "idx", "score")
 
 
 def q_formula_bidirectional(spark, sf_dir):
@@ -346,12 +359,9 @@ def q_formula_bidirectional(spark, sf_dir):
 
 
 def q_replace_matches(spark, sf_dir):
-    """The stored match table with the last centre's parents matched again."""
-    source, text = [(r[0], r[1]) for r in _formulas(spark, sf_dir) if r[1]][-1]
-    master = table(spark, sf_dir, "ccd_master")
+    """The stored match table with the parents of every source with a formula matched again."""
     stored = table(spark, sf_dir, "ccd_master_matching").select("parent", "mas_client", "client", "client_id", "idx", "score", "match_equation")
-    fresh = formula_match.match_source(master, source, text)
-    processed = master.filter(F.col("source") == source).select(F.col("record_id").alias("parent"))
+    fresh, processed = _matches(spark, sf_dir)
     return formula_match.replace_matches(stored, fresh, processed)
 
 

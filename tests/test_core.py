@@ -13,6 +13,7 @@ from kinloom.functions.strings import indel_ratio, jaro_winkler, token_set_ratio
 from kinloom.operators import blocking, canonical, clusters, evidence, fellegi, formula, formula_match, metrics, models, profiling, review, sampling
 from kinloom.operators import policy as policies
 from kinloom.operators.keyed_rank import value_at_position
+from kinloom.plans import linkage
 from kinloom.sources.stage import Stage
 
 PERSON = "record_id string, source string, ccd_source_key string, chi_surname string, chi_firstname string, eng_surname string, eng_firstname string, phone_num string, email string, birthday string, hkid string, hksr_num string, modified timestamp"
@@ -238,6 +239,31 @@ def test_formula_match_and_replacement(spark):
     assert sorted((r["parent"], r["client_id"]) for r in kept.collect()) == [("a1", "b1"), ("other", "b1")]
 
 
+def written(folder, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_every_source_with_a_formula_is_matched(spark, tmp_path):
+    rows = frame(spark, *(person(f"{s.lower()}1", s, eng_firstname="Tai Man", modified=T0 + dt.timedelta(days=s == "B")) for s in "ABC"))
+    registrations = spark.createDataFrame([("A", '@EnglishMatch("eng_firstname") > 0.5'), ("B", '@EnglishMatch("eng_firstname") > 0.6'), ("C", None)], "source string, fuzzymachingscript string")
+    stored = spark.createDataFrame([("a1", "old"), ("c1", "kept")], "parent string, client_id string").selectExpr("parent", "'x' AS mas_client", "'y' AS client", "client_id", "1 AS idx", "0.0D AS score", "'' AS match_equation")
+    runs = spark.createDataFrame([("Completed", T0)], "status string, snapshot_at timestamp")
+    at = written(tmp_path, ccd_master=rows, ccd_registration=registrations, ccd_master_matching=stored, ccd_match_evaluation_run=runs)
+    pairs = {("a1", "b1"), ("a1", "c1"), ("b1", "a1"), ("b1", "c1")}
+    assert {(r["parent"], r["client_id"]) for r in linkage.q_formula_matches(spark, at).collect()} == pairs
+    assert {(r["parent"], r["client_id"]) for r in linkage.q_replace_matches(spark, at).collect()} == pairs | {("c1", "kept")}
+    assert {(r["parent"], r["client_id"]) for r in linkage.q_formula_incremental(spark, at).collect()} == {("b1", "a1"), ("b1", "c1")}
+
+
+def test_a_cut_block_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(formula_match, "BLOCK", 4)
+    rows = frame(spark, *(person(f"{s}{i}", s, chi_firstname="文", eng_firstname=f"Tai {i}") for s in "AB" for i in range(15)))
+    found = formula_match.match_source(rows, "A", '@EnglishMatch("eng_firstname") + @ChineseMatch("chi_firstname") > 0.5')
+    assert sorted((r["parent"], r["client_id"]) for r in found.collect()) == sorted((f"A{i}", f"B{j}") for i in range(15) for j in range(15))
+
+
 def test_legacy_phone(spark):
     assert [one(spark, v, formula.legacy_phone) for v in ("+852 1", "(+852) 1", "(852) 1", "0085291234567", "123")] == ["+852 1", "+852 1", "+852 1", "+8529 1234567", "123"]
 
