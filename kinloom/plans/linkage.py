@@ -13,8 +13,9 @@ from kinloom.operators import policy as policies
 from kinloom.sources.stage import Stage
 from kinloom.sources.tables import table
 
-#: Block guard and pair cap of the registered queries.
-MAX_BLOCK, MAX_PAIRS, SAMPLE, SEED = 200, 50_000, 500, "kinloom"
+#: Block guard, pair cap and pair budget of the registered queries: the defaults of a policy.
+MAX_BLOCK, MAX_PAIRS, BUDGET = policies.Policy.max_block, policies.Policy.max_pairs, 500_000
+SAMPLE, SEED = 500, "kinloom"
 #: Routes without a reading of characters, which SQL can follow.
 EXACT_ROUTES = tuple(r for r in blocking.ROUTES if r != "chi_surname_initial")
 
@@ -83,7 +84,7 @@ def q_projected_pairs(spark, sf_dir):
 
 def q_budgeted_routes(spark, sf_dir):
     """Blocks that fit a budget of pairs, taken in order."""
-    taken = blocking.within_budget(q_projected_pairs(spark, sf_dir), ["phone", "email", "chi_full"], max_block=MAX_BLOCK, budget=2_000)
+    taken = blocking.within_budget(q_projected_pairs(spark, sf_dir), ["phone", "email", "chi_full"], max_block=MAX_BLOCK, budget=BUDGET)
     return spark.createDataFrame(taken, "route string, value string")
 
 

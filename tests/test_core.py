@@ -276,6 +276,13 @@ def test_directional_baseline_takes_the_better_side(spark):
     assert (row["score"], row["matches"], row["direction"]) == (0.8, True, "right_source_formula")
 
 
+def test_registered_queries_keep_blocks_above_200(spark, tmp_path):
+    rows = frame(spark, *(person(f"{s}{i:03d}", s, eng_surname="CHAN", eng_firstname=f"Tai M{i}") for s in "AB" for i in range(130)))
+    at = written(tmp_path, ccd_master=rows, ccd_registration=spark.createDataFrame([("A", "Local", "")], "source string, identifier_scope string, fuzzymachingscript string"))
+    assert linkage.q_skipped_blocks(spark, at).count() == 0
+    assert linkage.q_pairs_multi_route(spark, at).count() == 130 * 130
+
+
 # sampling, metrics, review, clusters, profiling
 
 
