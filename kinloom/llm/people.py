@@ -96,11 +96,6 @@ def _name_parts(c: Column) -> list[Column]:
     return [F.when(F.length(c) > 1, F.left(c, F.lit(2))), F.when(F.length(c) > 2, F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1))))]
 
 
-def _whole(c: Column, e: Column) -> Column:
-    """Han name, or the romanised one where there is no whole one."""
-    return F.when(F.length(c) > 1, c).otherwise(e)
-
-
 def _hash(scope: Column, tag: str, *parts: Column) -> Column:
     known = parts[0].isNotNull() & (parts[0] != "")
     for x in parts[1:]:
@@ -110,15 +105,21 @@ def _hash(scope: Column, tag: str, *parts: Column) -> Column:
 
 def _keys_of(scope: Column, c: Column, e: Column, p: Column, m: Column, b: Column) -> Column:
     """The keys of one spelling of each attribute; null where an attribute is blank."""
+    words = _tokens(F.coalesce(e, F.lit("")))
+    names = [F.when(F.length(c) > 1, c), F.translate(e, "| ", ""), F.array_join(F.array_sort(words), "")]
     parts = [_hash(scope, "p", p), _hash(scope, "m", m)]
-    parts += [_hash(scope, "b", b, x) for x in (*_name_parts(c), F.translate(e, "| ", ""))]
-    parts += [_hash(scope, "d", _whole(c, e), F.substring(b, 5, 4)), _hash(scope, "y", _whole(c, e), F.left(b, F.lit(4)))]
-    return F.array(*parts)
+    parts += [_hash(scope, "b", b, x) for x in (F.left(c, F.lit(1)), *_name_parts(c), *names[1:])]
+    parts += [_hash(scope, "d", x, F.substring(b, 5, 4)) for x in names] + [_hash(scope, "y", x, F.left(b, F.lit(4))) for x in names]
+    return F.array_distinct(F.concat(F.array(*parts), F.transform(words, lambda x: _hash(scope, "b", b, x))))
 
 
 def block_keys(profiles: DataFrame, scope: Column | None = None) -> DataFrame:
     """Distinct (id, key): phone; e-mail; birthday with part of a name; full name with year, or with month and day.
 
+    Parts of a name are the Han surname, it with either end of the given name, every
+    romanised word, and all of them as they stand and sorted.  Full names are the Han
+    one and the romanised one, as it stands and sorted.
+
     ``scope`` goes into every key, so that only profiles of one scope meet.  Profiles
     with several spellings get the keys of every combination of name and birthday;
     the others, nearly all, take a path that is compiled as a whole.

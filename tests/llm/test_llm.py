@@ -80,6 +80,15 @@ def test_hot_blocks_lose_no_plausible_pair(spark):
     assert links.count() < 5000 and components.connected_groups(links, "l", "r", Stage(spark, "t")).filter("group = 0").count() == 500
 
 
+def test_names_in_any_order_and_with_typos_meet(spark):
+    rows = [(1, "李昕薇", "lee|yan meu", "", "", "19800102"), (2, "", "yan meu|lee", "", "", "19800102"), (3, "", "lee|yan mew", "", "", "19800102"), (4, "", "meu yan|lee", "", "", "19800305"), (5, "", "wong|ka", "", "", "19800102")]
+    profiles = spark.createDataFrame(rows, "id bigint, c string, e string, p string, m string, b string")
+    got = {tuple(r) for r in people.candidate_pairs(profiles, Stage(spark, "t")).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4)}
+    keys = people.block_keys(profiles)
+    assert keys.count() == keys.distinct().count()
+
+
 @pytest.mark.parametrize(
     ("a", "b", "least", "most"),
     [
