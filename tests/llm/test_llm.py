@@ -53,6 +53,15 @@ def test_same_source_variants_merge_and_match_again(spark):
     assert rematch.same_source_variants(master(spark, rows[0]).limit(0)).count() == 0
 
 
+def test_a_contradicted_pair_is_judged_again_when_richer(spark):
+    rows = [(1, "", "wong|peter", "51234567", "peterw1", ""), (2, "", "wong|ka ming", "51234567", "", ""), (3, "", "wong|peter ka ming", "", "peterw1", "")]
+    profiles = spark.createDataFrame(rows, "id bigint, c string, e string, p string, m string, b string")
+    refused = rematch._judged(spark.createDataFrame([(1, 2)], "l bigint, r bigint"), profiles).first()["w"]
+    assert refused < -0.5
+    groups = {tuple(r) for r in rematch.resolve(profiles, Stage(spark, "t")).select("vertex", "group").collect()}
+    assert {v for v, _ in groups} == {1, 2, 3} and len({g for _, g in groups}) == 1
+
+
 def test_cross_source_matches_and_confidence(spark):
     rows = list(POPULATION)
     for i in range(60):
