@@ -5,8 +5,9 @@ lengths of all pieces make a histogram with at most ``capacity`` entries, whatev
 the number of items.  Over it the configuration linear program (how often to use
 which combination of lengths) is solved by multiplicative weights: lengths still
 lacking containers get dearer, a knapsack dynamic program finds the combination
-worth most at these prices.  The solution is rounded down, and what it leaves is
-packed in combinations of longest lengths first.  The combinations then meet the
+worth most at these prices, until every length is covered.  The solution is rounded
+with the fractions carried on, and what that leaves is packed in combinations of
+longest lengths first.  The combinations then meet the
 items by rank: the k-th item of a length goes to the k-th place for that length.
 """
 
@@ -59,11 +60,19 @@ class Plan:
 
     capacity: int
     combinations: list[tuple[dict[int, int], int]] = field(default_factory=list)
+    #: How many of the combinations come from the program; the others pack what rounding left.
+    dealt: int = 0
 
     @property
     def containers(self) -> int:
         return sum(n for _, n in self.combinations)
 
+    @property
+    def rest_share(self) -> float:
+        """Share of all tokens that rounding left."""
+        tokens = [sum(k * a for k, a in used.items()) * n for used, n in self.combinations]
+        return sum(tokens[self.dealt :]) / max(sum(tokens), 1)
+
     def places(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each length: first rank, multiplicity and first container of every combination that holds it."""
         out: dict[int, list[list[int]]] = {}
@@ -77,30 +86,29 @@ class Plan:
         return {k: tuple(np.array(v[:-1], np.int64).T) for k, v in out.items()}  # type: ignore[misc]
 
 
-def _linear_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[dict[int, int], float]]:
-    """Fractional combinations by multiplicative weights, covering the histogram as far as ``rounds`` go."""
+def _linear_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float) -> list[tuple[dict[int, int], float]]:
+    """Fractional combinations by multiplicative weights that cover the whole histogram.
+
+    A round gives the scarcest length of a combination ``step`` of its count, or what
+    it lacks, so every length is covered after at most 1 / ``step`` + 1 rounds each,
+    whatever the counts.
+    """
     covered = np.zeros(len(lengths))
     found: dict[tuple[tuple[int, int], ...], float] = {}
-    volume = float((lengths * counts).sum())
-    got = 0.0
-    for _ in range(rounds):
-        prices = np.exp(-4.0 * np.minimum(covered, 4.0)) * lengths
-        prices[covered >= 1] *= 0.01
-        used = best_combination(lengths, prices, capacity)
-        if not used:
-            break
-        amount = step * min(counts[k] / a for k, a in used.items())
+    while len(open_ := np.flatnonzero(covered < 1)):
+        prices = np.exp(-covered[open_]) * lengths[open_] ** 1.2  # long lengths are worth more for their size: they are harder to place late
+        used = {int(open_[k]): a for k, a in best_combination(lengths[open_], prices, capacity).items()}
+        amount = min(min(step, 1 - covered[k]) * counts[k] / a for k, a in used.items())
         key = tuple(sorted(used.items()))
         found[key] = found.get(key, 0.0) + amount
         for k, a in used.items():
             covered[k] += a * amount / counts[k]
-            got += min(1.0, a * amount / counts[k]) * counts[k] * lengths[k]
-        if got >= volume or covered.min() >= 1:
-            break
+            if covered[k] > 1 - 1e-9:
+                covered[k] = 1.0
     return [(dict(k), x) for k, x in found.items()]
 
 
-def make_plan(histogram: dict[int, int], capacity: int, *, rounds: int = 150, step: float = 1.0) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int, *, step: float = 0.5) -> Plan:
     """Containers for all of ``histogram`` (length to count, lengths within capacity)."""
     plan = Plan(capacity)
     histogram = {k: v for k, v in histogram.items() if v > 0}
@@ -109,12 +117,16 @@ def make_plan(histogram: dict[int, int], capacity: int, *, rounds: int = 150, st
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], float)
     left = counts.astype(np.int64)
-    for used, amount in _linear_program(lengths, counts, capacity, rounds, step):
-        n = min(int(amount + 1e-9), *(int(left[k]) // a for k, a in used.items()))
+    carried = 0.0
+    for used, amount in _linear_program(lengths, counts, capacity, step):
+        carried += amount
+        n = min(int(carried + 1e-9), *(int(left[k]) // a for k, a in used.items()))
         if n > 0:
+            carried -= n
             plan.combinations.append(({int(lengths[k]): a for k, a in used.items()}, n))
             for k, a in used.items():
                 left[k] -= a * n
+    plan.dealt = len(plan.combinations)
     # the rest: longest first, each combination as often as it still fits
     while left.any():
         room, used = capacity, {}

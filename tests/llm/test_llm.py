@@ -302,6 +302,16 @@ def test_best_combination_equals_brute_force():
         assert sum(prices[k] * a for k, a in used.items()) == pytest.approx(best[17])
 
 
+def test_the_program_covers_every_length():
+    rng = random.Random(3)
+    histogram = {k: rng.randint(2000, 4000) for k in range(1, 301)}
+    plan = packing.make_plan(histogram, 400)
+    packed = {k: sum(used.get(k, 0) * n for used, n in plan.combinations) for k in histogram}
+    assert packed == histogram and all(sum(k * a for k, a in used.items()) <= 400 for used, _ in plan.combinations)
+    dealt = {k for used, _ in plan.combinations[: plan.dealt] for k in used}
+    assert dealt == set(histogram) and plan.rest_share < 0.1
+
+
 @pytest.mark.parametrize("capacity", [64, 100])
 def test_packing_is_whole_and_tight(spark, capacity):
     rng = random.Random(5)
