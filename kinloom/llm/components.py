@@ -49,6 +49,34 @@ def connected_groups(edges: DataFrame, left: str, right: str, stage: Stage) -> D
     return reduce(DataFrame.unionByName, done)
 
 
+def contracted_groups(edges: DataFrame, left: str, right: str, stage: Stage) -> DataFrame:
+    """(vertex, group), group the least vertex of the component, for links whose vertices are numbered without regard to the links.
+
+    Every vertex goes into its least neighbour and the links between what is left are
+    drawn again, until none is left; then the steps are followed back.  Small groups,
+    as records of one person make, end in one round.  A row with equal ends or with
+    a null makes no vertex; an empty table gives an empty result.
+    """
+    links = edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
+    steps, drawn = [], None
+    while True:
+        ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = stage.write(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("vertex"), F.least("a", "m").alias("group")))
+        steps.append(near)
+        one, two = (near.select(F.col("vertex").alias(x), F.col("group").alias(f"g{x}")) for x in "ab")
+        up = links.join(one, "a").join(two, "b").filter("ga <> gb").select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
+        before, drawn = drawn, stage.write(up)
+        stage.drop(before)
+        links = drawn
+        if drawn.isEmpty():
+            break
+    out = steps.pop()
+    while steps:
+        further = out.select(F.col("vertex").alias("group"), F.col("group").alias("to"))
+        out = steps.pop().join(further, "group", "left").select("vertex", F.coalesce("to", "group").alias("group"))
+    return out
+
+
 def registration_key(source: Column, key: Column, record_id: Column) -> list[Column]:
     """Two columns that name the registration of a row; a row without source or key is one of its own."""
     whole = (F.coalesce(source, F.lit("")) != "") & key.isNotNull()

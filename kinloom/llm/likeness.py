@@ -7,9 +7,14 @@ names (simplified), ``e`` romanised names (surname ``|`` given names), ``p`` pho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import ShortType, StructField, StructType
+
+from kinloom.functions.strings import lcs_length
+
 MISSING = -1
 #: Name agreement in hundredths by kind of Han agreement (rows) and of romanised agreement.
 #: Han: equal, reordered, same sound, shortened, one character off, other, none at all on one side.
@@ -30,16 +35,7 @@ _ROMAN_RANK = "-XDUIPA"
 @lru_cache(300_000)
 def indel(a: str, b: str) -> float:
     """2 x longest common subsequence / total length."""
-    if a == b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = corner + 1 if x == y else (above if above >= row[j - 1] else row[j - 1])
-            corner = above
-    return 2 * row[-1] / (len(a) + len(b))
+    return 1.0 if a == b else 2 * lcs_length(a, b) / (len(a) + len(b))
 
 
 @lru_cache(300_000)
@@ -157,46 +153,21 @@ def _several(a: str, b: str, one) -> int:
     return max(100 if x == y else one(x, y) for x in a.split(";") for y in b.split(";"))
 
 
-def _one_phone(a: str, b: str) -> int:
-    return 0
-
+_OPEN = StructType([StructField(x, ShortType()) for x in ("name", "email", "birthday")])
 
-def likeness(a: tuple[str, ...], b: tuple[str, ...], sounds: dict[str, str]) -> tuple[int, int, int, int]:
-    """(name, phone, email, birthday) of two profiles (c, e, p, m, b)."""
-    ca, ea, *rest_a = a
-    cb, eb, *rest_b = b
-    out = [100 if ca == cb and len(ca) > 1 and ";" not in ca else name(ca, cb, ea, eb, sounds)]
-    for x, y, one in zip(rest_a, rest_b, (_one_phone, _one_email, _one_birthday), strict=True):
-        if not x or not y:
-            out.append(MISSING)
-        elif x == y:
-            out.append(100)
-        elif ";" in x or ";" in y:
-            out.append(_several(x, y, one))
-        else:
-            out.append(one(x, y))
-    return tuple(out)
 
+def open_likeness(sounds):
+    """Column function of (c1, c2, e1, e2, m1, m2, b1, b2): a struct of the likenesses whose inputs are not null.
 
-def likeness_columns(sounds) -> object:
-    """``mapInArrow`` function: (l, r, c1..b1, c2..b2) to (l, r, s1, s2, name, phone, email, birthday).
-
-    ``sounds`` is a broadcast table from ideograph to syllable.
+    Inputs are null where a pair is decided already.  ``sounds`` is a broadcast table
+    from ideograph to syllable.
     """
-    import pyarrow as pa
-
-    names = ("c", "e", "p", "m", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(c1: pa.Array, c2: pa.Array, e1: pa.Array, e2: pa.Array, m1: pa.Array, m2: pa.Array, b1: pa.Array, b2: pa.Array) -> pa.Array:
         table = sounds.value
-        for batch in batches:
-            left = zip(*(batch.column(f"{n}1").to_pylist() for n in names), strict=True)
-            right = zip(*(batch.column(f"{n}2").to_pylist() for n in names), strict=True)
-            got = [likeness(x, y, table) for x, y in zip(left, right, strict=True)]
-            four = [pa.array([g[i] for g in got], pa.int16()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), *four], names=["l", "r", "name", "phone", "email", "birthday"])
-
-    return run
-
+        names = [None if w is None else name(w, x, y, z, table) for w, x, y, z in zip(c1.to_pylist(), c2.to_pylist(), e1.to_pylist(), e2.to_pylist(), strict=True)]
+        emails = [None if x is None else _several(x, y, _one_email) for x, y in zip(m1.to_pylist(), m2.to_pylist(), strict=True)]
+        days = [None if x is None else _several(x, y, _one_birthday) for x, y in zip(b1.to_pylist(), b2.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int16()) for x in (names, emails, days)], names=["name", "email", "birthday"])
 
-LIKENESS_SCHEMA = "l bigint, r bigint, name smallint, phone smallint, email smallint, birthday smallint"
+    return F.arrow_udf(run, _OPEN)

@@ -7,21 +7,24 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.characters import han_fold, latin_fold, pinyin_table, simplified_table
 from kinloom.functions.normalize import birthday_date
-from kinloom.llm.likeness import LIKENESS_SCHEMA, likeness_columns
+from kinloom.llm.likeness import MISSING, open_likeness
 from kinloom.llm.survivor import usable_phone
 from kinloom.sources.stage import Stage
 
 PROFILE = ("c", "e", "p", "m", "b")
 #: One id in so many goes into the sample that tells hot keys.
 SAMPLED = 16
-#: Most members of a block that are compared with each other; larger blocks are parted by further attributes.
+#: Most members of a block that are compared with each other; larger blocks are parted by what their members' names and values share.
 BLOCK_BOUND = 100
-#: Keys or profiles (measured, at most 40 bytes each) up to this number are broadcast, more are joined by shuffle.
+#: A phone or e-mail of more registrations than this belongs to no person; it counts as missing, like other dummies.
+COMMON = 10_000
+#: Keys (measured, 8 bytes each) up to this number are broadcast, more are joined by shuffle.
 BROADCAST_ROWS = 150_000
 
 
@@ -52,16 +55,137 @@ def _birth(c: Column, modified: Column) -> Column:
     return F.when(F.year(day) > 1900, F.replace(day.cast("string"), F.lit("-"), F.lit("")))
 
 
-def registration_profiles(master: DataFrame) -> DataFrame:
-    """(id, source, ccd_source_key, c, e, p, m, b): all spellings of a registration, joined by ``;``.
+# groups of rows in order
 
-    Rows without source or key are left out.  ``id`` is a 64-bit hash of source and
-    key: equal ids of different registrations are to be expected beyond 10^9 of them.
+
+def _names_with_new_birthdays(members: list[tuple[str, ...]]) -> list[tuple[str, str, str]]:
+    """(Han name, romanised name, birthday), one of the names blank, that the merged members have together and none has alone."""
+    had, names, days = set(), [dict(), dict()], {}
+    for c, e, _, _, b in members:
+        own = [x for x in b.split(";") if x]
+        days.update(dict.fromkeys(own))
+        for k, text in enumerate((c, e)):
+            for x in text.split(";"):
+                if x:
+                    names[k][x] = None
+                    had.update((k, x, y) for y in own)
+    return [(x, "", y) if k == 0 else ("", x, y) for k in (0, 1) for x in names[k] for y in days if (k, x, y) not in had]
+
+
+def merge_in_order(n_keys: int, *, fresh: bool = False):
+    """``mapInArrow`` function over (keys.., c, e, p, m, b) in order of the keys: one row a key with the spellings of all its rows.
+
+    Runs of one row, and attributes that are equal in a run, go through as whole
+    columns.  What is held of a run that goes on is its distinct spellings.  With
+    ``fresh`` the output has a column ``fresh``, and rows where it is true hold a name
+    and a birthday that come together by the merge only.
+    """
+    width = n_keys + len(PROFILE)
+
+    def merged(rows: list[list[str]]) -> list[str]:
+        return [";".join(sorted({x for r in rows for x in r[k].split(";") if x})) for k in range(len(PROFILE))]
+
+    def cut(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = table.num_rows
+        first = np.ones(n, bool)
+        if n > 1:
+            same = np.ones(n - 1, bool)
+            for i in range(n_keys):
+                column = table.column(i).combine_chunks()
+                same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            first[1:] = ~same
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, n))
+        heads = table.take(pa.array(starts))
+        columns = [heads.column(i).combine_chunks() for i in range(n_keys)] + [pc.fill_null(heads.column(i).combine_chunks(), "") for i in range(n_keys, width)]
+        extra: list[list] = [[] for _ in range(width)]
+        if len(starts) < n:
+            inside = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            rows = [pc.fill_null(table.column(i).combine_chunks().take(pa.array(inside)), "") for i in range(n_keys, width)]
+            apart = np.zeros(len(inside), bool)  # rows unlike the one before
+            for c in rows:
+                apart[1:] |= ~pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            several = np.flatnonzero(sizes > 1)
+            ends = np.cumsum(sizes[several])
+            begins = ends - sizes[several]
+            apart[begins] = False
+            differ = np.flatnonzero(np.add.reduceat(apart.astype(np.int64), begins) > 0)
+            values: list[list[str]] = [[] for _ in PROFILE]
+            taken = np.concatenate([np.arange(begins[k], ends[k]) for k in differ]) if len(differ) else np.empty(0, np.int64)
+            texts = [c.take(pa.array(taken)).to_pylist() for c in rows]
+            at = 0
+            for k in differ:
+                size = int(ends[k] - begins[k])
+                distinct = list(dict.fromkeys(zip(*(x[at : at + size] for x in texts), strict=True)))
+                at += size
+                for i, value in enumerate(merged(distinct)):
+                    values[i].append(value)
+                if fresh:
+                    for c, e, b in _names_with_new_birthdays(distinct):
+                        for i in range(n_keys):
+                            extra[i].append(columns[i][int(several[k])].as_py())
+                        for i, value in enumerate((c, e, "", "", b)):
+                            extra[n_keys + i].append(value)
+            mask = np.zeros(len(starts), bool)
+            mask[several[differ]] = True
+            columns[n_keys:] = [pc.replace_with_mask(c, pa.array(mask), pa.array(v, pa.string())) for c, v in zip(columns[n_keys:], values, strict=True)]
+        names = list(table.column_names)
+        if fresh:
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(starts), bool))], names=[*names, "fresh"])
+            if extra[0]:
+                arrays = [pa.array(x, table.schema.field(i).type) for i, x in enumerate(extra)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.ones(len(extra[0]), bool))], names=[*names, "fresh"])
+        else:
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table]).combine_chunks()
+            n = table.num_rows
+            if not n:
+                continue
+            last = np.ones(n, bool)  # rows of the last key, which may go on
+            for i in range(n_keys):
+                column = table.column(i).combine_chunks()
+                last &= pc.equal(column, column[n - 1]).to_numpy(zero_copy_only=False)
+            end = n - int(last.sum())
+            if end:
+                yield from cut(table.slice(0, end))
+            held = table.slice(end)
+            if held.num_rows > 1:
+                held = held.group_by(held.column_names).aggregate([]).select(table.column_names)  # distinct rows, whatever their number
+        if held is not None and held.num_rows:
+            yield from cut(held)
+
+    return run
+
+
+_TEXTS = ", ".join(f"{x} string" for x in PROFILE)
+
+
+def _hot_registrations(rows: DataFrame, stage: Stage) -> DataFrame | None:
+    """Hashes of registrations delivered very often, told by a sample of the rows; None where there are none."""
+    sampled = rows.filter(F.pmod(F.xxhash64("record_id"), F.lit(SAMPLED)) == 0)
+    hot = stage.write(sampled.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 10_000 // SAMPLED).select("_h"))
+    return None if hot.isEmpty() else hot
+
+
+def registration_profiles(master: DataFrame, stage: Stage) -> DataFrame:
+    """(id, source, ccd_source_key, c, e, p, m, b), written: all spellings of a registration, joined by ``;``.
+
+    Rows without source or key are left out.  ``id`` numbers the registrations; no
+    two share one.  A phone or e-mail of more than ``COMMON`` registrations is blank.
+    Rows of a registration delivered very often are made distinct beforehand, with
+    map-side combining.
     """
     spark = master.sparkSession
-    rows = master.filter("coalesce(source, '') <> '' AND ccd_source_key IS NOT NULL").select(
-        "source",
-        "ccd_source_key",
+    key = ["_h", "source", "ccd_source_key"]
+    named = master.filter("coalesce(source, '') <> '' AND ccd_source_key IS NOT NULL").withColumn("_h", F.xxhash64("source", "ccd_source_key"))
+    rows = named.select(
+        *key,
         _han_name(spark, F.col("chi_surname"), F.col("chi_firstname")).alias("c"),
         _roman(F.col("eng_surname")).alias("_s"),
         _roman(F.col("eng_firstname")).alias("_g"),
@@ -70,16 +194,35 @@ def registration_profiles(master: DataFrame) -> DataFrame:
         _birth(F.col("birthday"), F.col("modified")).alias("b"),
     )
     blank = (F.col("_s") == "") & (F.col("_g") == "")
-    rows = rows.withColumn("c", F.nullif("c", F.lit(""))).withColumn("e", F.when(~blank, F.concat_ws("|", "_s", "_g")))
-    # one list for all attributes: most registrations have a single distinct row
-    seen = rows.groupBy("source", "ccd_source_key").agg(F.collect_set(F.struct(*PROFILE)).alias("_seen"))
-    first = F.col("_seen")[0]
+    rows = rows.select(*key, "c", F.when(~blank, F.concat_ws("|", "_s", "_g")).alias("e"), "p", "m", "b")
+    hot = _hot_registrations(named.select("_h", "record_id"), stage)
+    if hot is not None:
+        rows = rows.join(F.broadcast(hot), "_h", "left_anti").unionByName(rows.join(F.broadcast(hot), "_h", "left_semi").distinct())
+    ordered = rows.repartition("_h").sortWithinPartitions(*key)
+    one = ordered.mapInArrow(merge_in_order(len(key)), f"_h bigint, source string, ccd_source_key string, {_TEXTS}")
+    profiles = stage.write(one.select(F.monotonically_increasing_id().alias("id"), "source", "ccd_source_key", *PROFILE))
+    return _without_common(profiles, stage)
 
-    def spellings(x: str) -> Column:
-        several = F.array_join(F.sort_array(F.array_distinct(F.filter(F.transform("_seen", lambda r: r[x]), lambda v: v.isNotNull()))), ";")
-        return F.when(F.size("_seen") == 1, F.coalesce(first[x], F.lit(""))).otherwise(several)
 
-    return seen.select(F.xxhash64("source", "ccd_source_key").alias("id"), "source", "ccd_source_key", *(spellings(x).alias(x) for x in PROFILE))
+def _without_common(profiles: DataFrame, stage: Stage) -> DataFrame:
+    """``profiles`` with phones and e-mails blank that more than ``COMMON`` registrations hold."""
+
+    def values(df: DataFrame) -> DataFrame:
+        return df.select(F.explode(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(x).alias("value")) for x in ("p", "m")))).alias("v")).select("v.*").filter("value <> ''")
+
+    sampled = values(profiles.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0))
+    suspect = stage.write(sampled.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON // SAMPLED // 2).select("kind", "value"))
+    if suspect.isEmpty():
+        return profiles
+    common = values(profiles).join(F.broadcast(suspect), ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
+    common = stage.write(common.select("kind", "value"))
+    for x in ("p", "m"):
+        gone = common.filter(F.col("kind") == x).select(F.col("value").alias(x), F.lit(True).alias("_gone"))
+        profiles = profiles.join(F.broadcast(gone), x, "left").withColumn(x, F.when(F.col("_gone"), "").otherwise(F.col(x))).drop("_gone")
+    return stage.write(profiles.select("id", "source", "ccd_source_key", *PROFILE))
+
+
+# blocking keys
 
 
 def _items(c: str) -> Column:
@@ -87,77 +230,106 @@ def _items(c: str) -> Column:
     return F.filter(F.split(F.col(c), ";"), lambda x: x != "")
 
 
-def _tokens(e: Column) -> Column:
-    return F.filter(F.split(F.translate(e, "|", " "), " "), lambda x: x != "")
+def _hash(tag: str, *parts: str) -> Column:
+    """Key of columns; null where one is blank."""
+    known = F.lit(True)
+    for x in parts:
+        known = known & (F.col(x) != "")
+    return F.when(known, F.xxhash64(F.lit(tag), *parts))
 
 
-def _name_parts(c: Column) -> list[Column]:
-    """Surname with the first and with the last character of the given name."""
-    return [F.when(F.length(c) > 1, F.left(c, F.lit(2))), F.when(F.length(c) > 2, F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1))))]
+def _phone_key() -> list[Column]:
+    return [_hash("p", "p")]
 
 
-def _hash(scope: Column, tag: str, *parts: Column) -> Column:
-    known = parts[0].isNotNull() & (parts[0] != "")
-    for x in parts[1:]:
-        known = known & x.isNotNull() & (x != "")
-    return F.when(known, F.xxhash64(scope, F.lit(tag), *parts))
+def _email_key() -> list[Column]:
+    """The address without its last letter, by which people tell their addresses apart."""
+    return [_hash("m", "m_stem")]
 
 
-def _keys_of(scope: Column, c: Column, e: Column, p: Column, m: Column, b: Column) -> Column:
-    """The keys of one spelling of each attribute; null where an attribute is blank."""
-    words = _tokens(F.coalesce(e, F.lit("")))
-    names = [F.when(F.length(c) > 1, c), F.translate(e, "| ", ""), F.array_join(F.array_sort(words), "")]
-    parts = [_hash(scope, "p", p), _hash(scope, "m", m)]
-    parts += [_hash(scope, "b", b, x) for x in (F.left(c, F.lit(1)), *_name_parts(c), *names[1:])]
-    parts += [_hash(scope, "d", x, F.substring(b, 5, 4)) for x in names] + [_hash(scope, "y", x, F.left(b, F.lit(4))) for x in names]
-    return F.array_distinct(F.concat(F.array(*parts), F.transform(words, lambda x: _hash(scope, "b", b, x))))
+def _han_keys() -> list[Column]:
+    """Birthday with the surname and the character after it; the full name with year, and with month and day."""
+    return [_hash("b", "b", "c_head"), _hash("d", "c_full", "b_day"), _hash("y", "c_full", "b_year")]
 
 
-def block_keys(profiles: DataFrame, scope: Column | None = None) -> DataFrame:
-    """Distinct (id, key): phone; e-mail; birthday with part of a name; full name with year, or with month and day.
+def _roman_keys() -> list[Column]:
+    """Birthday with the initials in order, and with the two last of the words in order; all words in order with year, and with month and day."""
+    return [_hash("i", "b", "e_initials"), _hash("w", "b", "e_last"), _hash("d", "e_full", "b_day"), _hash("y", "e_full", "b_year")]
 
-    Parts of a name are the Han surname, it with either end of the given name, every
-    romanised word, and all of them as they stand and sorted.  Full names are the Han
-    one and the romanised one, as it stands and sorted.
 
-    ``scope`` goes into every key, so that only profiles of one scope meet.  Profiles
-    with several spellings get the keys of every combination of name and birthday;
-    the others, nearly all, take a path that is compiled as a whole.
-    """
-    scope = F.lit("") if scope is None else scope
-    single = ~F.concat(*(F.col(x) for x in PROFILE)).contains(";")
-    plain = profiles.filter(single).select("id", F.explode(_keys_of(scope, *(F.col(x) for x in PROFILE))).alias("key")).filter("key IS NOT NULL")
+def _with_parts(df: DataFrame) -> DataFrame:
+    """``df`` with what the keys are made of, each part once a row, for those of the columns c, e, m, b it has."""
+    has = set(df.columns)
+    steps: list[dict[str, Column]] = [{}, {}, {}]
+    if "c" in has:
+        steps[0]["c_full"] = F.when(F.length("c") > 1, F.col("c")).otherwise("")
+        steps[1]["c_head"] = F.left("c_full", F.lit(2))
+    if "e" in has:
+        steps[0]["e_text"] = F.trim(F.translate("e", "|", " "))
+        steps[1]["e_words"] = F.sort_array(F.split("e_text", " +"))
+        steps[1]["e_initials"] = F.array_join(F.sort_array(F.split(F.regexp_replace("e_text", "([a-z])[a-z]*", "$1"), " +")), "")
+        words = F.col("e_words")
+        steps[2]["e_full"] = F.array_join(words, "")
+        steps[2]["e_last"] = F.concat(F.coalesce(F.get(words, F.size(words) - 2), F.lit("")), F.get(words, F.size(words) - 1))
+    if "m" in has:
+        steps[0]["m_stem"] = F.left("m", F.greatest(F.length("m") - 1, F.lit(0)))
+    if "b" in has:
+        steps[0] |= {"b_year": F.left("b", F.lit(4)), "b_day": F.substring("b", 5, 4)}
+    for step in steps:
+        df = df.withColumns(step) if step else df
+    return df
 
-    def options(c: str) -> Column:
-        items = _items(c)
-        return F.when(F.size(items) == 0, F.array(F.lit(""))).otherwise(items)
 
-    cc, ee, pp, mm, bb = map(options, PROFILE)
-    none = F.lit("")
-    crossed = F.flatten(F.transform(bb, lambda y: F.flatten(F.concat(
-        F.transform(cc, lambda x: _keys_of(scope, x, none, none, none, y)),
-        F.transform(ee, lambda x: _keys_of(scope, none, x, none, none, y)),
-    ))))
-    apart = F.flatten(F.concat(F.transform(pp, lambda x: _keys_of(scope, none, none, x, none, none)), F.transform(mm, lambda x: _keys_of(scope, none, none, none, x, none))))
-    rich = profiles.filter(~single).select("id", F.explode(F.array_distinct(F.concat(crossed, apart))).alias("key")).filter("key IS NOT NULL")
-    return plain.unionByName(rich)
+def _exploded(df: DataFrame, keys: list[Column]) -> DataFrame:
+    return _with_parts(df).select("id", F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL")
+
+
+def block_keys(profiles: DataFrame) -> DataFrame:
+    """(id, key): phone; e-mail but for its last letter; birthday with part of a name; full name with year, or with month and day.
+
+    Romanised names go in by their sorted words or initials, so their order does not
+    matter.  Profiles with several spellings get the keys of every combination of
+    name and birthday.  A key may come out more than once for an id.  Everything is
+    compiled: no lambda, no Python.
+    """
+    single = ~F.concat(*(F.col(x) for x in PROFILE)).contains(";")
+    rich = profiles.filter(~single)
+
+    def each(x: str) -> DataFrame:
+        return rich.filter(F.col(x) != "").select("id", "b", F.explode(F.split(x, ";")).alias(x))
+
+    def dated(x: str) -> DataFrame:
+        return each(x).filter("b <> ''").select("id", x, F.explode(F.split("b", ";")).alias("b"))
+
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _exploded(profiles.filter(single), [*_phone_key(), *_email_key(), *_han_keys(), *_roman_keys()]),
+            _exploded(each("p"), _phone_key()),
+            _exploded(each("m"), _email_key()),
+            _exploded(dated("c"), _han_keys()),
+            _exploded(dated("e"), _roman_keys()),
+        ],
+    )
 
 
 def _further_parts() -> Column:
-    """Hashes of single attributes, by which an oversized block is parted."""
+    """Hashes of what two near spellings share: ends of romanised words, Han characters; year, month with day, phone, e-mail."""
     c, e, p, m, b = map(_items, PROFILE)
+    words = F.filter(F.flatten(F.transform(e, lambda x: F.split(F.translate(x, "|", " "), " "))), lambda x: x != "")
     parts = F.concat(
+        F.transform(words, lambda x: F.xxhash64(F.lit("a"), F.left(x, F.lit(2)))),
+        F.transform(words, lambda x: F.xxhash64(F.lit("z"), F.right(x, F.lit(2)))),
+        F.transform(F.flatten(F.transform(c, lambda x: F.split(x, ""))), lambda x: F.xxhash64(F.lit("c"), x)),
+        F.flatten(F.transform(b, lambda x: F.array(F.xxhash64(F.lit("y"), F.left(x, F.lit(4))), F.xxhash64(F.lit("d"), F.substring(x, 5, 4))))),
         F.transform(p, lambda x: F.xxhash64(F.lit("p"), x)),
-        F.transform(m, lambda x: F.xxhash64(F.lit("m"), x)),
-        F.transform(b, lambda x: F.xxhash64(F.lit("b"), x)),
-        F.transform(c, lambda x: F.xxhash64(F.lit("c"), x)),
-        F.transform(F.array_distinct(F.flatten(F.transform(e, _tokens))), lambda x: F.xxhash64(F.lit("e"), x)),
+        F.transform(m, lambda x: F.xxhash64(F.lit("m"), F.left(x, F.greatest(F.length(x) - 1, F.lit(1))))),
     )
     return F.array_distinct(parts)
 
 
 def _pairs_in_runs(bound: int):
-    """``mapInArrow`` function over rows (key, id) in order: pairs within runs of one key, rows of runs beyond ``bound``."""
+    """``mapInArrow`` function over rows (key, id) in order of key: pairs within runs of one key, rows of runs beyond ``bound``."""
 
     def cut(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
         edges = np.flatnonzero(np.diff(key)) + 1
@@ -171,11 +343,13 @@ def _pairs_in_runs(bound: int):
             left.append(ids[at])
             right.append(ids[at + d])
         over = np.flatnonzero(~small)
-        n = sum(map(len, left))
-        if not n and not len(over):
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        other = a != b
+        a, b = a[other], b[other]
+        if not len(a) and not len(over):
             return None
-        large = np.concatenate([np.zeros(n, bool), np.ones(len(over), bool)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*left, key[over]])), pa.array(np.concatenate([*right, ids[over]])), pa.array(large)], names=["l", "r", "large"])
+        large = np.concatenate([np.zeros(len(a), bool), np.ones(len(over), bool)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), key[over]])), pa.array(np.concatenate([np.maximum(a, b), ids[over]])), pa.array(large)], names=["l", "r", "large"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -195,67 +369,131 @@ def _pairs_in_runs(bound: int):
     return run
 
 
-def candidate_pairs(profiles: DataFrame, stage: Stage, *, bound: int = BLOCK_BOUND, levels: int = 3, keys: DataFrame | None = None, scope: Column | None = None) -> DataFrame:
+def _every_pair(rows: DataFrame, piece: int) -> DataFrame:
+    """All pairs of members of the blocks of ``rows`` (key, id), each block cut in pieces of about ``piece`` that meet each other in tasks of their own."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_n"))
+    cut = rows.join(sizes, "key").withColumn("_a", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b")
+    a = cut.select("key", F.col("id").alias("l"), "_a", other)
+    b = cut.select("key", F.col("id").alias("r"), F.col("_a").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_a"))
+    return a.join(b, ["key", "_a", "_b"]).filter("l < r").select("l", "r")
+
+
+def candidate_pairs(profiles: DataFrame, stage: Stage, *, bound: int = BLOCK_BOUND, levels: int = 3, keys: DataFrame | None = None) -> DataFrame:
     """Distinct (l, r), l < r, of profiles that share a key.
 
     No block is dropped.  A sample of the ids tells which keys are held by very
-    many; these, and all runs found to be longer than ``bound``, are parted by each
-    further attribute of their members, up to ``levels`` times: two records that
-    agree in nothing besides such a key could not be matched anyway.  Members of
-    what is still larger agree in four or more attributes; they are linked in a row.
+    many; these, and all runs found to be longer than ``bound``, are parted by what
+    near spellings share (:func:`_further_parts`), up to ``levels`` times, in a fixed
+    order of the parts, so that none is used twice.  Profiles of a large block equal
+    in everything go in as one, paired with the others (and these among themselves, up
+    to ``bound`` of them).  What is still large after that is compared whole, in pieces
+    spread over tasks.
     """
-    rows = block_keys(profiles, scope) if keys is None else keys
-    found, waiting = [], None
+    rows = (block_keys(profiles) if keys is None else keys).select("key", "id")
+    found, parts = [], None
+    state = ["key", "id"]
     for level in range(levels + 1):
         sampled = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
         hot = stage.write(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(8, bound // 4)).select("key"))
-        n = hot.count()
+        n, waiting = hot.count(), None
         if n:
             few = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
             waiting = rows.join(few, "key", "left_semi").select("key", "id")
             rows = rows.join(few, "key", "left_anti")
-        ordered = rows.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+        ordered = rows.select("key", "id").repartition("key").sortWithinPartitions("key")
         cut = stage.write(ordered.mapInArrow(_pairs_in_runs(bound), "l bigint, r bigint, large boolean"))
         found.append(cut.filter("NOT large").select("l", "r"))
         over = cut.filter("large").select(F.col("l").alias("key"), F.col("r").alias("id"))
-        rest = over if waiting is None else over.unionByName(waiting)
-        waiting = None
         if not n and over.isEmpty():
             break
-        rest = stage.write(rest)
+        rest = over if waiting is None else over.unionByName(waiting)
+        rest = stage.write(rest.distinct())
+        stage.drop(hot)
+        if level == 0:
+            parts = stage.write(profiles.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.md5(F.concat_ws("\t", *PROFILE)).alias("fp"), _further_parts().alias("parts")))
+            marked = stage.write(rest.join(parts.select("id", "fp"), "id"))
+            alike = marked.groupBy("key", "fp").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("n"))
+            twins = marked.join(alike.filter("n > 1"), ["key", "fp"])
+            few, many = twins.filter(F.col("n") <= bound), twins.filter(F.col("n") > bound)
+            found.append(few.select("key", "fp", F.col("id").alias("l")).join(few.select("key", "fp", F.col("id").alias("r")), ["key", "fp"]).filter("l < r").select("l", "r"))
+            found.append(many.filter("id <> one").select(F.col("one").alias("l"), F.col("id").alias("r")))
+            rest = stage.write(alike.select("key", F.col("one").alias("id"), F.lit(-(2**63)).cast("bigint").alias("last")))
+        else:
+            rest = rest.join(state, ["key", "id"])
         if level == levels:
-            first = rest.groupBy("key").agg(F.min("id").alias("l"))
-            found.append(rest.join(first, "key").filter("id <> l").select("l", F.col("id").alias("r")))
+            found.append(_every_pair(rest.select("key", "id"), 2_000))
             break
-        parts = profiles.select("id", F.explode(_further_parts()).alias("part"))
-        rows = rest.join(parts, "id").select("id", F.xxhash64("key", "part").alias("key")).distinct()
+        wider = rest.join(parts.select("id", F.explode("parts").alias("part")), "id").filter("part > last")
+        state = stage.write(wider.select("id", F.xxhash64("key", "part").alias("key"), F.col("part").alias("last")))
+        rows = state
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+# likeness of pairs
+
+
 def with_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(l, r, c1.., c2..) for pairs of ids."""
     left = profiles.select(F.col("id").alias("l"), *(F.col(x).alias(f"{x}1") for x in PROFILE))
     right = profiles.select(F.col("id").alias("r"), *(F.col(x).alias(f"{x}2") for x in PROFILE))
-    return pairs.join(left, "l").join(right, "r").select("l", "r", *(f"{x}{i}" for i in (1, 2) for x in PROFILE))
+    return pairs.join(left.hint("shuffle_hash"), "l").join(right.hint("shuffle_hash"), "r")
 
 
-def pair_likeness(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(l, r, name, phone, email, birthday) in hundredths, -1 where missing."""
-    spark = profiles.sparkSession
-    sounds = spark.sparkContext.broadcast(pinyin_table(spark))  # one entry for each ideograph of the basic block
-    return with_profiles(pairs, profiles).mapInArrow(likeness_columns(sounds), LIKENESS_SCHEMA)
+def _single(x: str) -> Column:
+    return ~F.col(f"{x}1").contains(";") & ~F.col(f"{x}2").contains(";")
+
+
+def _missing(x: str) -> Column:
+    return (F.col(f"{x}1") == "") | (F.col(f"{x}2") == "")
+
+
+def _decided_birthday() -> Column:
+    """Likeness of two single birthdays."""
+    b1, b2 = F.col("b1"), F.col("b2")
+    year = [F.left(x, F.lit(4)).cast("int") for x in (b1, b2)]
+    month, day = [F.substring(x, 5, 2) for x in (b1, b2)], [F.substring(x, 7, 2) for x in (b1, b2)]
+    apart = F.abs(year[0] - year[1])
+    rest = (month[0] == month[1]) & (day[0] == day[1])
+    return (
+        F.when(rest & ((apart == 1) | (apart % 10 == 0)), 80)
+        .when((apart == 1) & (month[0] == month[1]) & (day[0] >= "28") & (day[1] >= "28"), 80)
+        .when((apart == 0) & (month[0] == day[1]) & (day[0] == month[1]), 80)
+        .when(rest | ((apart == 0) & ((month[0] == month[1]) | (day[0] == day[1]))), 50)
+        .when(apart == 0, 20)
+        .otherwise(0)
+    )
 
 
-def row_pairs(members: DataFrame, master: DataFrame, *, same_source: bool) -> DataFrame:
-    """(left_record, right_record) of rows of one group in different registrations of one source, or in different sources.
+def pair_likeness(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(l, r, name, phone, email, birthday) in hundredths, -1 where missing.
 
-    ``members`` is (group, source, ccd_source_key), groups of at least two registrations.
+    What equality or arithmetic decides is decided in compiled expressions; only the
+    values of pairs still open travel to Python.
+    """
+    spark = profiles.sparkSession
+    sounds = spark.sparkContext.broadcast(pinyin_table(spark))  # one entry for each ideograph of the basic block
+    both = with_profiles(pairs, profiles)
+    equal = {x: F.col(f"{x}1") == F.col(f"{x}2") for x in PROFILE}
+    none = (_missing("c") & (_missing("e")), MISSING)
+    name = F.when(equal["c"] & (F.length("c1") > 1), 100).when(*none)
+    phone = F.when(_missing("p"), MISSING).when(equal["p"], 100).when(_single("p"), 0).otherwise(F.when(F.arrays_overlap(F.split("p1", ";"), F.split("p2", ";")), 100).otherwise(0))
+    stem = [F.left(x, F.greatest(F.length(x) - 1, F.lit(0))) for x in (F.col("m1"), F.col("m2"))]
+    email = F.when(_missing("m"), MISSING).when(equal["m"], 100).when(_single("m") & (stem[0] == stem[1]), 60)
+    birthday = F.when(_missing("b"), MISSING).when(equal["b"], 100).when(_single("b"), _decided_birthday())
+    decided = both.select("l", "r", *(f"{x}{i}" for x in "cemb" for i in (1, 2)), name.alias("name"), phone.alias("phone"), email.alias("email"), birthday.alias("birthday"))
+    asked = [F.when(F.col(of).isNull(), F.col(f"{x}{i}")) for x, of in (("c", "name"), ("e", "name"), ("m", "email"), ("b", "birthday")) for i in (1, 2)]
+    scored = decided.withColumn("_open", open_likeness(sounds)(*asked))
+    return scored.select("l", "r", *((F.col(f) if f == "phone" else F.coalesce(F.col(f), F.col("_open")[f])).cast("smallint").alias(f) for f in ("name", "phone", "email", "birthday")))
+
+
+def row_pairs(links: DataFrame, profiles: DataFrame, master: DataFrame) -> DataFrame:
+    """(left_record, right_record), smaller first, of all rows of linked registrations.
+
+    ``links`` (l, r) are ids of ``profiles``, each pair once.
     """
-    rows = members.join(master.select("record_id", "source", "ccd_source_key"), ["source", "ccd_source_key"])
-    a = rows.select("group", "source", F.col("ccd_source_key").alias("k1"), F.col("record_id").alias("left_record"))
-    b = rows.select("group", F.col("source").alias("source2"), F.col("ccd_source_key").alias("k2"), F.col("record_id").alias("right_record"))
-    if same_source:
-        pairs = a.join(b.withColumnRenamed("source2", "source"), ["group", "source"]).filter("k1 <> k2 AND left_record < right_record")
-    else:
-        pairs = a.join(b, "group").filter("source <> source2 AND left_record < right_record")
-    return pairs.select("left_record", "right_record")
+    rows = profiles.select("id", "source", "ccd_source_key").join(master.select("record_id", "source", "ccd_source_key"), ["source", "ccd_source_key"]).select("id", "record_id")
+    a = rows.select(F.col("id").alias("l"), F.col("record_id").alias("a"))
+    b = rows.select(F.col("id").alias("r"), F.col("record_id").alias("b"))
+    pairs = links.join(a, "l").join(b, "r").filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("left_record"), F.greatest("a", "b").alias("right_record"))

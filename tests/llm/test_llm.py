@@ -76,19 +76,60 @@ def test_cross_source_matches_and_confidence(spark):
     assert mixture.cross_source_matches(master(spark, rows[0]).limit(0)).count() == 0
 
 
+PEOPLE = "id bigint, c string, e string, p string, m string, b string"
+
+
 def test_hot_blocks_lose_no_plausible_pair(spark):
-    """A third of all rows share one phone; refined blocks still find every pair with one more attribute in common."""
-    rows = [(i, "", f"name{i % 400}|x", "51234567", "", "") for i in range(1200)] + [(10_000 + i, "", f"other{i}|y", f"{60000000 + i}", "", "") for i in range(300)]
-    profiles = spark.createDataFrame(rows, "id bigint, c string, e string, p string, m string, b string")
-    got = {tuple(r) for r in people.candidate_pairs(profiles, Stage(spark, "t"), bound=20).collect()}
-    wanted = {(a, b) for k in range(400) for a, b in ((k, k + 400), (k, k + 800), (k + 400, k + 800))}
-    assert wanted <= got and len(got) < 3 * len(wanted)
-    assert all(a < b for a, b in got)
-    equal = spark.createDataFrame([(i, "", "same|one", "51234567", "", "") for i in range(500)], profiles.schema)
+    """Thousands share one phone; near spellings of one name still meet, and copies of a profile make no square."""
+    rng = random.Random(5)
+    start, end = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"], ["n", "ng", "k", "t", "m", "p", "r", "s", "l", "h"]
+
+    def word():
+        return rng.choice(start) + rng.choice(start)[:1] + rng.choice("aeiou") + rng.choice(end)
+
+    names = [f"{word()}|{word()} {word()}" for _ in range(1200)]
+    rows = [(i, "", e, "51234567", "", "") for i, e in enumerate(names)]
+    near = [(5000 + i, "", names[i][:-2] + names[i][-1] + names[i][-2], "51234567", "", "") for i in range(40)]
+    joined = [(6000, "", "chan|siuming", "51234567", "", ""), (6001, "", "chan|siu ming", "51234567", "", "")]
+    profiles = spark.createDataFrame(rows + near + joined, PEOPLE)
+    got = {tuple(r) for r in people.candidate_pairs(profiles, Stage(spark, "t"), bound=50).collect()}
+    assert {(i, 5000 + i) for i in range(40)} | {(6000, 6001)} <= got
+    assert all(a < b for a, b in got) and len(got) < 1242 * 1241 // 8
+    equal = spark.createDataFrame([(i, "", "same|one", "51234567", "", "") for i in range(500)], PEOPLE)
     links = people.candidate_pairs(equal, Stage(spark, "t"), bound=20)
     assert links.count() < 5000 and components.connected_groups(links, "l", "r", Stage(spark, "t")).filter("group = 0").count() == 500
 
 
+def test_what_stays_large_is_compared_whole(spark):
+    """Members of a block that share every part but differ: all pairs, in pieces."""
+    rows = [(i, "", f"abcd|ab{i:04d}cd".translate(str.maketrans("0123456789", "efghijklmn")), "51234567", "", "") for i in range(90)]
+    got = people.candidate_pairs(spark.createDataFrame(rows, PEOPLE), Stage(spark, "t"), bound=10)
+    assert got.count() == 90 * 89 // 2
+    pieces = people._every_pair(spark.createDataFrame([(7, i) for i in range(50)], "key bigint, id bigint"), 8)
+    assert pieces.count() == pieces.distinct().count() == 50 * 49 // 2
+
+
+def test_a_common_phone_counts_as_missing(spark, monkeypatch):
+    monkeypatch.setattr(people, "COMMON", 100)
+    rows = [(i, "A", str(i), "", f"n{i}|x", "51234567" if i < 400 else f"6{i:07d}", "", "") for i in range(600)]
+    got = people._without_common(spark.createDataFrame(rows, "id bigint, source string, ccd_source_key string, c string, e string, p string, m string, b string"), Stage(spark, "t"))
+    XX
+
+
+def test_registrations_are_merged_in_order(spark):
+    rows = [row(f"R{i}", "A", f"k{i % 7}", **CHAN, phone_num=f"5123456{i % 3}" if i % 2 else None, birthday="1980-01-02") for i in range(40)] + [row("S", "B", "k1", **CHAN), row("N", "", "k1", **CHAN)]
+    got = {(r["source"], r["ccd_source_key"]): r for r in people.registration_profiles(master(spark, *rows), Stage(spark, "t")).collect()}
+    assert len(got) == 8 and len({r["id"] for r in got.values()}) == 8
+    wanted = {f"5123456{i % 3}" for i in range(40) if i % 7 == 3 and i % 2}
+    assert set(got["A", "k3"]["p"].split(";")) == wanted and got["A", "k3"]["b"] == "19800102"
+    assert got["B", "k1"]["p"] == "" and people.registration_profiles(master(spark, rows[0]).limit(0), Stage(spark, "t")).count() == 0
+
+
+def test_a_merge_gives_new_names_with_birthdays():
+    new = people._names_with_new_birthdays([("陈大文", "chan|tai man", "", "", ""), ("", "chan|t m", "", "", "19800102"), ("", "chan|t m", "", "", "")])
+    assert sorted(new) == [("", "chan|tai man", "19800102"), ("陈大文", "", "19800102")]
+
+
 def test_names_in_any_order_and_with_typos_meet(spark):
     rows = [(1, "李昕薇", "lee|yan meu", "", "", "19800102"), (2, "", "yan meu|lee", "", "", "19800102"), (3, "", "lee|yan mew", "", "", "19800102"), (4, "", "meu yan|lee", "", "", "19800305"), (5, "", "wong|ka", "", "", "19800102")]
     profiles = spark.createDataFrame(rows, "id bigint, c string, e string, p string, m string, b string")
@@ -179,6 +220,16 @@ def test_groups_of_chains_stars_and_loops(spark):
     assert components.connected_groups(df.limit(0), "l", "r", Stage(spark, "t")).count() == 0
 
 
+def test_contraction_finds_the_same_groups(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(25)] + [(2000, 2000), (2001, None)]
+    df = spark.createDataFrame(edges, "l bigint, r bigint")
+    one, two = ({tuple(r) for r in f(df, "l", "r", Stage(spark, "t")).collect()} for f in (components.connected_groups, components.contracted_groups))
+    alone = {(v, v) for v, _ in one} - {(v, g) for v, g in two}
+    assert two <= one and one - two <= alone
+    assert components.contracted_groups(df.limit(0), "l", "r", Stage(spark, "t")).count() == 0
+
+
 def test_groups_of_random_graphs(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
