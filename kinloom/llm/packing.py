@@ -4,11 +4,11 @@ Only an item longer than the capacity is split: into full pieces and a rest.  Th
 lengths of all pieces make a histogram with at most ``capacity`` entries, whatever
 the number of items.  Over it the configuration linear program (how often to use
 which combination of lengths) is solved by multiplicative weights: lengths still
-lacking containers get dearer, a knapsack dynamic program finds the combination
-worth most at these prices, until every length is covered.  The solution is rounded
-with the fractions carried on, and what that leaves is packed in combinations of
-longest lengths first.  The combinations then meet the
-items by rank: the k-th item of a length goes to the k-th place for that length.
+lacking containers are dearer, a knapsack dynamic program finds the combination
+worth most at these prices, until every item is placed.  Each use of a combination
+is rounded to whole containers when it is found and what it takes is gone, so later
+prices and combinations are those of what rounding left.  The combinations then meet
+the items by rank: the k-th item of a length goes to the k-th place for that length.
 """
 
 from __future__ import annotations
@@ -27,31 +27,34 @@ from kinloom.sources.stage import Stage
 RANK_BOUND = 100_000
 
 
-def best_combination(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: index to multiplicity of the combination of greatest price within ``capacity``."""
+def best_combination(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """Bounded knapsack: index to multiplicity of the combination of greatest price within ``capacity`` and ``counts``, and that price.
+
+    Multiplicities are split into powers of two, so each step of the dynamic program
+    is one whole-array operation over the capacities.
+    """
+    kind, many = [], []
+    for k in range(len(lengths)):
+        left, size = min(int(counts[k]), capacity // int(lengths[k])), 1
+        while left > 0:
+            kind.append(k)
+            many.append(min(size, left))
+            left -= size
+            size *= 2
     value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(lengths, kind="stable")
-    sizes, worth = lengths[order], prices[order]
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        n = upto[c]
-        if n:
-            got = value[c - sizes[:n]] + worth[:n]
-            k = int(got.argmax())
-            if got[k] > value[c]:
-                value[c], choice[c] = got[k], k
+    taken = np.zeros((len(kind), capacity + 1), bool)
+    for i, (k, a) in enumerate(zip(kind, many, strict=True)):
+        room = a * int(lengths[k])
+        with_it = value[: capacity + 1 - room] + a * prices[k]
+        np.greater(with_it, value[room:], out=taken[i, room:])
+        np.maximum(with_it, value[room:], out=value[room:])
     used: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        k = int(choice[c])
-        used[int(order[k])] = used.get(int(order[k]), 0) + 1
-        c -= int(sizes[k])
-    return used
+    for i in range(len(kind) - 1, -1, -1):
+        if taken[i, c]:
+            used[kind[i]] = used.get(kind[i], 0) + many[i]
+            c -= many[i] * int(lengths[kind[i]])
+    return used, float(value[capacity])
 
 
 @dataclass
@@ -60,19 +63,13 @@ class Plan:
 
     capacity: int
     combinations: list[tuple[dict[int, int], int]] = field(default_factory=list)
-    #: How many of the combinations come from the program; the others pack what rounding left.
-    dealt: int = 0
+    #: No packing of the histogram, even with fractions of containers, takes fewer (from the prices of the program).
+    least: float = 0.0
 
     @property
     def containers(self) -> int:
         return sum(n for _, n in self.combinations)
 
-    @property
-    def rest_share(self) -> float:
-        """Share of all tokens that rounding left."""
-        tokens = [sum(k * a for k, a in used.items()) * n for used, n in self.combinations]
-        return sum(tokens[self.dealt :]) / max(sum(tokens), 1)
-
     def places(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each length: first rank, multiplicity and first container of every combination that holds it."""
         out: dict[int, list[list[int]]] = {}
@@ -86,59 +83,72 @@ class Plan:
         return {k: tuple(np.array(v[:-1], np.int64).T) for k, v in out.items()}  # type: ignore[misc]
 
 
-def _linear_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float) -> list[tuple[dict[int, int], float]]:
-    """Fractional combinations by multiplicative weights that cover the whole histogram.
+def _program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Combinations of indexes that place the whole histogram, and the greatest lower bound met on the way.
 
-    A round gives the scarcest length of a combination ``step`` of its count, or what
-    it lacks, so every length is covered after at most 1 / ``step`` + 1 rounds each,
-    whatever the counts.
+    Multiplicative weights: the price of a length falls with the share of it that is
+    placed.  The knapsack finds the combination worth most at these prices; it is
+    used for ``step`` of what its scarcest length has left, rounded to whole
+    containers, one at least.  At any prices, what the whole histogram is worth over
+    what a container can be worth bounds the containers of the linear program from
+    below.
     """
-    covered = np.zeros(len(lengths))
-    found: dict[tuple[tuple[int, int], ...], float] = {}
-    while len(open_ := np.flatnonzero(covered < 1)):
-        prices = np.exp(-covered[open_]) * lengths[open_] ** 1.2  # long lengths are worth more for their size: they are harder to place late
-        used = {int(open_[k]): a for k, a in best_combination(lengths[open_], prices, capacity).items()}
-        amount = min(min(step, 1 - covered[k]) * counts[k] / a for k, a in used.items())
-        key = tuple(sorted(used.items()))
-        found[key] = found.get(key, 0.0) + amount
+    left, found = counts.astype(np.int64), []
+    worth = lengths / capacity
+    least = float(worth @ counts)  # prices in proportion to the lengths
+    while len(open_ := np.flatnonzero(left)):
+        prices = np.exp(left[open_] / counts[open_]) * lengths[open_] ** 1.2  # long lengths are worth more for their size: they are harder to place late
+        used, _ = best_combination(lengths[open_], prices, left[open_], capacity)
+        used = {int(open_[k]): a for k, a in used.items()}
+        n = max(1, int(step * min(left[k] // a for k, a in used.items())))
+        found.append((used, n))
         for k, a in used.items():
-            covered[k] += a * amount / counts[k]
-            if covered[k] > 1 - 1e-9:
-                covered[k] = 1.0
-    return [(dict(k), x) for k, x in found.items()]
+            left[k] -= a * n
+    return found, least
 
 
-def make_plan(histogram: dict[int, int], capacity: int, *, step: float = 0.5) -> Plan:
-    """Containers for all of ``histogram`` (length to count, lengths within capacity)."""
-    plan = Plan(capacity)
-    histogram = {k: v for k, v in histogram.items() if v > 0}
-    if not histogram:
-        return plan
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[int(x)] for x in lengths], float)
-    left = counts.astype(np.int64)
-    carried = 0.0
-    for used, amount in _linear_program(lengths, counts, capacity, step):
-        carried += amount
-        n = min(int(carried + 1e-9), *(int(left[k]) // a for k, a in used.items()))
-        if n > 0:
-            carried -= n
-            plan.combinations.append(({int(lengths[k]): a for k, a in used.items()}, n))
-            for k, a in used.items():
-                left[k] -= a * n
-    plan.dealt = len(plan.combinations)
-    # the rest: longest first, each combination as often as it still fits
+def dual_bound(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """Containers that any packing of the histogram needs, by ``prices`` of the lengths."""
+    best = best_combination(lengths, prices, np.full(len(lengths), capacity), capacity)[1]
+    return float(prices @ counts) / best if best else 0.0
+
+
+def longest_first(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Combinations of indexes: longest lengths first, each as often as it still fits."""
+    left, found = counts.astype(np.int64), []
     while left.any():
         room, used = capacity, {}
-        for k in range(len(lengths) - 1, -1, -1):
+        for k in np.flatnonzero(left)[::-1]:
             many = min(int(left[k]), room // int(lengths[k]))
             if many:
-                used[k] = many
+                used[int(k)] = many
                 room -= many * int(lengths[k])
         n = min(int(left[k]) // a for k, a in used.items())
-        plan.combinations.append(({int(lengths[k]): a for k, a in used.items()}, n))
+        found.append((used, n))
         for k, a in used.items():
             left[k] -= a * n
+    return found
+
+
+def make_plan(histogram: dict[int, int], capacity: int, *, step: float = 0.5) -> Plan:
+    """Containers for all of ``histogram`` (length to count, lengths within capacity).
+
+    The combinations are those of the program; should packing longest lengths first
+    ever take fewer containers, that packing is used instead.
+    """
+    plan = Plan(capacity)
+    histogram = {k: v for k, v in histogram.items() if v > 0}
+    if not histogram:
+        return plan
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    found, least = _program(lengths, counts, capacity, step)
+    halves = np.where(2 * lengths > capacity, 1.0, np.where(2 * lengths == capacity, 0.5, 0.0))  # of lengths over half, no two share a container
+    plan.least = max(least, dual_bound(lengths, halves, counts, capacity))
+    other = longest_first(lengths, counts, capacity)
+    if sum(n for _, n in other) < sum(n for _, n in found):
+        found = other
+    plan.combinations = [({int(lengths[k]): a for k, a in used.items()}, n) for used, n in found]
     return plan
 
 
@@ -152,7 +162,11 @@ def pieces(df: DataFrame, item: str, size: Column, capacity: int) -> DataFrame:
 
 
 def pack(df: DataFrame, item: str, size: Column, capacity: int, stage: Stage, *, rank_bound: int = RANK_BOUND) -> DataFrame:
-    """(item, piece, start, n_tokens, container_id) of every item with a size above 0.
+    return pack_by_plan(df, item, size, capacity, stage, rank_bound=rank_bound)[0]
+
+
+def pack_by_plan(df: DataFrame, item: str, size: Column, capacity: int, stage: Stage, *, rank_bound: int = RANK_BOUND) -> tuple[DataFrame, Plan]:
+    """(item, piece, start, n_tokens, container_id) of every item with a size above 0, and the plan it follows.
 
     Items of null or zero size need no room and get no row.  Items are told apart by
     ``item``; repeated items are placed as often as they stand.  An empty table
@@ -186,4 +200,4 @@ def pack(df: DataFrame, item: str, size: Column, capacity: int, stage: Stage, *,
             yield pa.RecordBatch.from_arrays([*columns, pa.array(container)], names=[item, "piece", "start", "n_tokens", "container_id"])
 
     kind = dict(df.select(item).dtypes)[item]
-    return ranked.mapInArrow(place, f"`{item}` {kind}, piece int, start bigint, n_tokens int, container_id bigint")
+    return ranked.mapInArrow(place, f"`{item}` {kind}, piece int, start bigint, n_tokens int, container_id bigint"), plan

@@ -113,7 +113,7 @@ def test_a_common_phone_counts_as_missing(spark, monkeypatch):
     monkeypatch.setattr(people, "COMMON", 100)
     rows = [(i, "A", str(i), "", f"n{i}|x", "51234567" if i < 400 else f"6{i:07d}", "", "") for i in range(600)]
     got = people._without_common(spark.createDataFrame(rows, "id bigint, source string, ccd_source_key string, c string, e string, p string, m string, b string"), Stage(spark, "t"))
-    XX
+    assert got.filter("p = ''").count() == 400 and got.count() == 600
 
 
 def test_registrations_are_merged_in_order(spark):
@@ -345,12 +345,14 @@ def test_best_combination_equals_brute_force():
     for _ in range(20):
         lengths = np.array(sorted(rng.sample(range(1, 12), 4)))
         prices = np.array([rng.random() for _ in lengths])
-        used = packing.best_combination(lengths, prices, 17)
+        used, price = packing.best_combination(lengths, prices, np.full(4, 17), 17)
         best = [0.0] * 18
         for c in range(1, 18):
             best[c] = max([best[c - 1], *(best[c - x] + p for x, p in zip(lengths, prices, strict=True) if x <= c)])
         assert sum(lengths[k] * a for k, a in used.items()) <= 17
-        assert sum(prices[k] * a for k, a in used.items()) == pytest.approx(best[17])
+        assert sum(prices[k] * a for k, a in used.items()) == pytest.approx(best[17]) == pytest.approx(price)
+        few, _ = packing.best_combination(lengths, prices, np.ones(4, int), 17)
+        assert set(few.values()) <= {1}
 
 
 def test_the_program_covers_every_length():
@@ -359,8 +361,17 @@ def test_the_program_covers_every_length():
     plan = packing.make_plan(histogram, 400)
     packed = {k: sum(used.get(k, 0) * n for used, n in plan.combinations) for k in histogram}
     assert packed == histogram and all(sum(k * a for k, a in used.items()) <= 400 for used, _ in plan.combinations)
-    dealt = {k for used, _ in plan.combinations[: plan.dealt] for k in used}
-    assert dealt == set(histogram) and plan.rest_share < 0.1
+    assert plan.least <= plan.containers <= 1.005 * plan.least
+
+
+def test_the_program_beats_longest_first():
+    histogram = {51: 60, 27: 60, 26: 60, 23: 120}
+    plan = packing.make_plan(histogram, 100)
+    lengths = np.array(sorted(histogram))
+    other = sum(n for _, n in packing.longest_first(lengths, np.array([histogram[int(x)] for x in lengths]), 100))
+    assert plan.least <= 90 <= plan.containers < other
+    over_half = packing.make_plan({60: 10, 30: 3}, 100)
+    assert over_half.containers == 10 and over_half.least == pytest.approx(10)
 
 
 @pytest.mark.parametrize("capacity", [64, 100])
