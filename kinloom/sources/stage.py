@@ -8,13 +8,14 @@ the driver exits, or earlier through :meth:`Stage.drop`.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[tuple[SparkSession, str]] = []
+#: Spark's own setting by which the shuffle files of an execution go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,13 +54,24 @@ class Stage:
         _FOLDERS.append((spark, self.root))
 
     def write(self, df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
-        """Materialise ``df`` and return it as a scan of the written table."""
+        """Materialise ``df`` and return it as a scan of the written table.
+
+        The shuffle files behind it are of no further use and go with the execution.
+        """
         self._count += 1
         path = f"{self.root}/{self._count}"
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kinloom_path = path  # type: ignore[attr-defined]
         return out
@@ -69,8 +81,3 @@ class Stage:
         path = getattr(df, "_kinloom_path", None)
         if path:
             _remove(self.spark, path)
-
-    def release(self) -> None:
-        """Let go of the shuffle files of finished steps, which otherwise stay until memory runs short."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
