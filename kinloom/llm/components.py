@@ -43,7 +43,6 @@ def connected_groups(edges: DataFrame, left: str, right: str, stage: Stage) -> D
         for old in (sets, least, stars):
             stage.drop(old)
         sets = after
-        stage.release()
         if sets.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)

@@ -117,14 +117,32 @@ def han(a: str, b: str, sounds: dict[str, str]) -> str:
     return "shortened" if all(x in rest for x in short) else ("off" if a[0] == b[0] else "other")
 
 
+def _best(a: str, b: str, one, rank) -> str:
+    """Highest of the kinds of agreement between the spellings of ``a`` and ``b``."""
+    top, at = rank[-1], -1
+    for x in a.split(";"):
+        for y in b.split(";"):
+            kind = one(x, y)
+            if kind == top:
+                return kind
+            at = max(at, rank.index(kind))
+    return rank[at]
+
+
 def name(ca: str, cb: str, ea: str, eb: str, sounds: dict[str, str]) -> int:
     if ca == cb and len(ca) > 1:
         return 100
-    h = max((han(x, y, sounds) for x in ca.split(";") for y in cb.split(";")), key=_HAN_RANK.index) if ca and cb else "none"
+    h = "none"
+    if ca and cb:
+        if ";" in ca or ";" in cb:
+            h = "equal" if any(len(x) > 1 for x in set(ca.split(";")).intersection(cb.split(";"))) else _best(ca, cb, lambda x, y: han(x, y, sounds), _HAN_RANK)
+        else:
+            h = han(ca, cb, sounds)
     if h == "equal":
         return 100
-    r = max((romanised(x, y) for x in ea.split(";") for y in eb.split(";")), key=_ROMAN_RANK.index) if ea and eb else "-"
-    return _NAME[h][r]
+    if not ea or not eb:
+        return _NAME[h]["-"]
+    return _NAME[h][_best(ea, eb, romanised, _ROMAN_RANK) if ";" in ea or ";" in eb else romanised(ea, eb)]
 
 
 @lru_cache(300_000)

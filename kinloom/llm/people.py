@@ -465,26 +465,36 @@ def _decided_birthday() -> Column:
     )
 
 
-def pair_likeness(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(l, r, name, phone, email, birthday) in hundredths, -1 where missing.
+def decided_likeness(pairs: DataFrame, profiles: DataFrame):
+    """What equality or arithmetic decides of (name, phone, email, birthday), and a function that adds the rest.
 
-    What equality or arithmetic decides is decided in compiled expressions; only the
-    values of pairs still open travel to Python.
+    The likenesses are in hundredths, -1 where missing, null where open.  The function
+    takes the pairs and a condition; only open values of pairs that meet it travel to
+    Python.
     """
     spark = profiles.sparkSession
     sounds = spark.sparkContext.broadcast(pinyin_table(spark))  # one entry for each ideograph of the basic block
     both = with_profiles(pairs, profiles)
     equal = {x: F.col(f"{x}1") == F.col(f"{x}2") for x in PROFILE}
-    none = (_missing("c") & (_missing("e")), MISSING)
-    name = F.when(equal["c"] & (F.length("c1") > 1), 100).when(*none)
+    name = F.when(equal["c"] & (F.length("c1") > 1), 100).when(_missing("c") & _missing("e"), MISSING)
     phone = F.when(_missing("p"), MISSING).when(equal["p"], 100).when(_single("p"), 0).otherwise(F.when(F.arrays_overlap(F.split("p1", ";"), F.split("p2", ";")), 100).otherwise(0))
     stem = [F.left(x, F.greatest(F.length(x) - 1, F.lit(0))) for x in (F.col("m1"), F.col("m2"))]
-    email = F.when(_missing("m"), MISSING).when(equal["m"], 100).when(_single("m") & (stem[0] == stem[1]), 60)
-    birthday = F.when(_missing("b"), MISSING).when(equal["b"], 100).when(_single("b"), _decided_birthday())
+    email = F.when(_missing("m"), MISSING).when(equal["m"], 100).when(_single("m"), F.when(stem[0] == stem[1], 60)).when(F.arrays_overlap(F.split("m1", ";"), F.split("m2", ";")), 100)
+    birthday = F.when(_missing("b"), MISSING).when(equal["b"], 100).when(_single("b"), _decided_birthday()).when(F.arrays_overlap(F.split("b1", ";"), F.split("b2", ";")), 100)
     decided = both.select("l", "r", *(f"{x}{i}" for x in "cemb" for i in (1, 2)), name.alias("name"), phone.alias("phone"), email.alias("email"), birthday.alias("birthday"))
-    asked = [F.when(F.col(of).isNull(), F.col(f"{x}{i}")) for x, of in (("c", "name"), ("e", "name"), ("m", "email"), ("b", "birthday")) for i in (1, 2)]
-    scored = decided.withColumn("_open", open_likeness(sounds)(*asked))
-    return scored.select("l", "r", *((F.col(f) if f == "phone" else F.coalesce(F.col(f), F.col("_open")[f])).cast("smallint").alias(f) for f in ("name", "phone", "email", "birthday")))
+
+    def rest(df: DataFrame, asked: Column) -> DataFrame:
+        values = [F.when(asked & F.col(of).isNull(), F.col(f"{x}{i}")) for x, of in (("c", "name"), ("e", "name"), ("m", "email"), ("b", "birthday")) for i in (1, 2)]
+        scored = df.withColumn("_open", open_likeness(sounds)(*values))
+        return scored.withColumns({f: F.coalesce(F.col(f), F.col("_open")[f]).cast("smallint") for f in ("name", "email", "birthday")})
+
+    return decided, rest
+
+
+def pair_likeness(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(l, r, name, phone, email, birthday) in hundredths, -1 where missing."""
+    decided, rest = decided_likeness(pairs, profiles)
+    return rest(decided, F.lit(True)).select("l", "r", "name", F.col("phone").cast("smallint").alias("phone"), "email", "birthday")
 
 
 def row_pairs(links: DataFrame, profiles: DataFrame, master: DataFrame) -> DataFrame:
