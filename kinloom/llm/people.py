@@ -390,7 +390,7 @@ def candidate_pairs(profiles: DataFrame, stage: Stage, *, bound: int = BLOCK_BOU
     to ``bound`` of them).  What is still large after that is compared whole, in pieces
     spread over tasks.
     """
-    rows = (block_keys(profiles) if keys is None else keys).select("key", "id")
+    rows = (stage.write(block_keys(profiles)) if keys is None else keys).select("key", "id")
     found, parts = [], None
     state = ["key", "id"]
     for level in range(levels + 1):
@@ -448,6 +448,10 @@ def _missing(x: str) -> Column:
     return (F.col(f"{x}1") == "") | (F.col(f"{x}2") == "")
 
 
+def _spellings(c: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(";"), F.lit(""))) + 1
+
+
 def _decided_birthday() -> Column:
     """Likeness of two single birthdays."""
     b1, b2 = F.col("b1"), F.col("b2")
@@ -470,7 +474,7 @@ def decided_likeness(pairs: DataFrame, profiles: DataFrame):
 
     The likenesses are in hundredths, -1 where missing, null where open.  The function
     takes the pairs and a condition; only open values of pairs that meet it travel to
-    Python.
+    Python.  ``n_<likeness>`` tells how many pairs of spellings had the chance to agree.
     """
     spark = profiles.sparkSession
     sounds = spark.sparkContext.broadcast(pinyin_table(spark))  # one entry for each ideograph of the basic block
@@ -481,7 +485,9 @@ def decided_likeness(pairs: DataFrame, profiles: DataFrame):
     stem = [F.left(x, F.greatest(F.length(x) - 1, F.lit(0))) for x in (F.col("m1"), F.col("m2"))]
     email = F.when(_missing("m"), MISSING).when(equal["m"], 100).when(_single("m"), F.when(stem[0] == stem[1], 60)).when(F.arrays_overlap(F.split("m1", ";"), F.split("m2", ";")), 100)
     birthday = F.when(_missing("b"), MISSING).when(equal["b"], 100).when(_single("b"), _decided_birthday()).when(F.arrays_overlap(F.split("b1", ";"), F.split("b2", ";")), 100)
-    decided = both.select("l", "r", *(f"{x}{i}" for x in "cemb" for i in (1, 2)), name.alias("name"), phone.alias("phone"), email.alias("email"), birthday.alias("birthday"))
+    several = [(_spellings(f"{x}1") * _spellings(f"{x}2")).alias(f"n_{f}") for x, f in (("p", "phone"), ("m", "email"), ("b", "birthday"))]
+    several.append(F.when(_missing("c"), _spellings("e1") * _spellings("e2")).otherwise(_spellings("c1") * _spellings("c2")).alias("n_name"))
+    decided = both.select("l", "r", *several, *(f"{x}{i}" for x in "cemb" for i in (1, 2)), name.alias("name"), phone.alias("phone"), email.alias("email"), birthday.alias("birthday"))
 
     def rest(df: DataFrame, asked: Column) -> DataFrame:
         values = [F.when(asked & F.col(of).isNull(), F.col(f"{x}{i}")) for x, of in (("c", "name"), ("e", "name"), ("m", "email"), ("b", "birthday")) for i in (1, 2)]
