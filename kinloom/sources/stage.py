@@ -53,14 +53,14 @@ class Stage:
         self._count = 0
         _FOLDERS.append((spark, self.root))
 
-    def write(self, df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, *, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
         """Materialise ``df`` and return it as a scan of the written table.
 
         The shuffle files behind it are of no further use and go with the execution.
         """
         self._count += 1
         path = f"{self.root}/{self._count}"
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.option("compression", compression)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         before = self.spark.conf.get(_CLEANUP, None)
