@@ -284,7 +284,7 @@ def _exploded(df: DataFrame, keys: list[Column]) -> DataFrame:
     return _with_parts(df).select("id", F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL")
 
 
-def block_keys(profiles: DataFrame) -> DataFrame:
+def block_keys(profiles: DataFrame, stage: Stage) -> DataFrame:
     """(id, key): phone; e-mail but for its last letter; birthday with part of a name; full name with year, or with month and day.
 
     Romanised names go in by their sorted words or initials, so their order does not
@@ -293,7 +293,7 @@ def block_keys(profiles: DataFrame) -> DataFrame:
     compiled: no lambda, no Python.
     """
     single = ~F.concat(*(F.col(x) for x in PROFILE)).contains(";")
-    rich = profiles.filter(~single)
+    rich = stage.write(profiles.filter(~single).select("id", *PROFILE))
 
     def each(x: str) -> DataFrame:
         return rich.filter(F.col(x) != "").select("id", "b", F.explode(F.split(x, ";")).alias(x))
@@ -390,7 +390,7 @@ def candidate_pairs(profiles: DataFrame, stage: Stage, *, bound: int = BLOCK_BOU
     to ``bound`` of them).  What is still large after that is compared whole, in pieces
     spread over tasks.
     """
-    rows = (stage.write(block_keys(profiles)) if keys is None else keys).select("key", "id")
+    rows = (stage.write(block_keys(profiles, stage), compression="uncompressed") if keys is None else keys).select("key", "id")
     found, parts = [], None
     state = ["key", "id"]
     for level in range(levels + 1):
@@ -487,11 +487,13 @@ def decided_likeness(pairs: DataFrame, profiles: DataFrame):
     birthday = F.when(_missing("b"), MISSING).when(equal["b"], 100).when(_single("b"), _decided_birthday()).when(F.arrays_overlap(F.split("b1", ";"), F.split("b2", ";")), 100)
     several = [(_spellings(f"{x}1") * _spellings(f"{x}2")).alias(f"n_{f}") for x, f in (("p", "phone"), ("m", "email"), ("b", "birthday"))]
     several.append(F.when(_missing("c"), _spellings("e1") * _spellings("e2")).otherwise(_spellings("c1") * _spellings("c2")).alias("n_name"))
-    decided = both.select("l", "r", *several, *(f"{x}{i}" for x in "cemb" for i in (1, 2)), name.alias("name"), phone.alias("phone"), email.alias("email"), birthday.alias("birthday"))
+    texts = [f"{x}{i}" for x in "cemb" for i in (1, 2)]
+    decided = both.select("l", "r", *several, *texts, name.alias("name"), phone.alias("phone"), email.alias("email"), birthday.alias("birthday"))
 
     def rest(df: DataFrame, asked: Column) -> DataFrame:
-        values = [F.when(asked & F.col(of).isNull(), F.col(f"{x}{i}")) for x, of in (("c", "name"), ("e", "name"), ("m", "email"), ("b", "birthday")) for i in (1, 2)]
-        scored = df.withColumn("_open", open_likeness(sounds)(*values))
+        of = {"c": "name", "e": "name", "m": "email", "b": "birthday"}
+        slim = df.select(*(c for c in df.columns if c not in texts), *(F.when(asked & F.col(of[t[0]]).isNull(), F.col(t)).alias(f"_{t}") for t in texts))
+        scored = slim.withColumn("_open", open_likeness(sounds)(*(F.col(f"_{t}") for t in texts))).drop(*(f"_{t}" for t in texts))
         return scored.withColumns({f: F.coalesce(F.col(f), F.col("_open")[f]).cast("smallint") for f in ("name", "email", "birthday")})
 
     return decided, rest
@@ -508,7 +510,9 @@ def row_pairs(links: DataFrame, profiles: DataFrame, master: DataFrame) -> DataF
 
     ``links`` (l, r) are ids of ``profiles``, each pair once.
     """
-    rows = profiles.select("id", "source", "ccd_source_key").join(master.select("record_id", "source", "ccd_source_key"), ["source", "ccd_source_key"]).select("id", "record_id")
+    wanted = links.select(F.explode(F.array("l", "r")).alias("id")).distinct()
+    named = profiles.select("id", "source", "ccd_source_key").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    rows = master.select("record_id", "source", "ccd_source_key").join(named.hint("shuffle_hash"), ["source", "ccd_source_key"]).select("id", "record_id")
     a = rows.select(F.col("id").alias("l"), F.col("record_id").alias("a"))
     b = rows.select(F.col("id").alias("r"), F.col("record_id").alias("b"))
     pairs = links.join(a, "l").join(b, "r").filter("a <> b")

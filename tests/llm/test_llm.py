@@ -135,7 +135,7 @@ def test_names_in_any_order_and_with_typos_meet(spark):
     profiles = spark.createDataFrame(rows, "id bigint, c string, e string, p string, m string, b string")
     got = {tuple(r) for r in people.candidate_pairs(profiles, Stage(spark, "t")).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4)}
-    keys = people.block_keys(profiles)
+    keys = people.block_keys(profiles, Stage(spark, "t"))
     assert keys.count() == keys.distinct().count()
 
 
