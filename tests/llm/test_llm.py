@@ -200,6 +200,21 @@ def test_survivors_of_a_hot_group(spark):
     assert {(r["ccd_source_key"], r["phone_from"]) for r in got.collect()} == {("hot", best), ("cold", "y")}
 
 
+def test_several_values_outvote_a_better_one(spark):
+    """The newest phone has one digit that two others agree against; each of them has a fault of its own."""
+    assert survivor.consensus_index(["51234569", "51234567", "51234567"], [3, 2, 2]) == 1
+    assert survivor.consensus_index(["51234569", "51934567", "51234567"], [2, 2, 1]) == 2
+    days = [T0 + dt.timedelta(days=d) for d in range(5)]
+    phones = ["51234567", "51234567", "51234569", "51934569"]
+    rows = [row(f"{i}", "A", "k", phone_num=p, modified=days[i]) for i, p in enumerate(phones)] + [row("9", "A", "none"), row("8", None, "k", phone_num="51234567")]
+    got = {(r["ccd_source_key"], r["field"]): (r["value"], r["weight"], r["of"]) for r in survivor.consensus_contacts(master(spark, *rows)).collect()}
+    assert got == {("k", "phone"): ("51234567", 2, 4)}
+    many = [row(f"{i:03d}", "A", "hot", phone_num=f"5123{i % 40:04d}", modified=days[0]) for i in range(200)] + [row(f"x{i}", "A", "hot", phone_num="51230007", modified=days[1]) for i in range(60)]
+    hot = survivor.voted_values(master(spark, *many), ["source", "ccd_source_key"], "record_id", "modified", {"phone": (survivor.usable_phone(F.col("phone_num")), F.lit(1))}, group_bound=8).collect()
+    assert [(r["value"], r["of"]) for r in hot] == [("51230007", 260)]
+    assert survivor.consensus_contacts(master(spark, rows[0]).limit(0)).count() == 0
+
+
 def test_consensus_follows_the_weights():
     assert survivor.consensus_index(["51234567"]) == 0
     assert survivor.consensus_index(["51234567", "51234568", "61234568"]) == 0
