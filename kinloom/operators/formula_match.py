@@ -159,6 +159,17 @@ def directional_baseline(pairs: DataFrame, master: DataFrame, registrations: Dat
     return every.groupBy("left_id", "right_id").agg(F.max("score").alias("score"), F.max("matches").alias("matches"), F.max_by("direction", F.struct("score", "rank")).alias("direction"))
 
 
+def baseline_with_formulas(pairs: DataFrame, master: DataFrame, registrations: DataFrame) -> DataFrame:
+    """``pairs`` with score, matches and direction of :func:`directional_baseline`; a pair without formula keeps its own score and matches, direction ``default``.
+
+    ``pairs`` has left_id, right_id, left_source, right_source, score, matches; other columns stay.
+    """
+    own = directional_baseline(pairs.select("left_id", "right_id", "left_source", "right_source").distinct(), master, registrations)
+    own = own.select("left_id", "right_id", F.col("score").alias("_score"), F.col("matches").alias("_matches"), F.col("direction").alias("_direction"))
+    joined = pairs.join(own, ["left_id", "right_id"], "left")
+    return joined.withColumns({"score": F.coalesce("_score", "score"), "matches": F.coalesce("_matches", "matches"), "direction": F.coalesce("_direction", F.lit("default"))}).drop("_score", "_matches", "_direction")
+
+
 def legacy_macros() -> dict:
     """Two-argument Column functions of the four macros, for use outside formulas."""
 

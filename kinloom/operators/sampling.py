@@ -25,15 +25,18 @@ def stratified_sample(df: DataFrame, size: int, seed: str, *, left: str = "left_
     """``size`` pairs: the least digest of each stratum first, then the least digests of all.
 
     Each stratum's representative comes from partial aggregation, so a stratum that
-    holds most pairs is no burden; a size of 0 or less gives no rows.
+    holds most pairs is no burden; a size of 0 or less gives no rows.  Of a pair drawn
+    more than once one row (the least by its other columns) represents the stratum.
     """
     hashed = df.withColumn("_d", _digest(f"{seed}:", left, right))
     if size <= 0:
         return hashed.limit(0).drop("_d")
     first = hashed.groupBy(by).agg(F.min("_d").alias("_least"))
     ranked = hashed.join(first, hashed[by].eqNullSafe(first[by])).drop(first[by])
-    chosen = ranked.orderBy((F.col("_d") != F.col("_least")).cast("int"), "_d").limit(size)
-    return chosen.drop("_d", "_least")
+    copies = Window.partitionBy(by, "_d").orderBy(*(F.col(c).cast("string") for c in df.columns))
+    leads = (F.col("_d") == F.col("_least")) & (F.col("_copy") == 1)
+    chosen = ranked.withColumn("_copy", F.row_number().over(copies)).orderBy((~leads).cast("int"), "_d").limit(size)
+    return chosen.drop("_d", "_least", "_copy")
 
 
 def double_review(df: DataFrame, count: int, seed: str, *, left: str = "left_id", right: str = "right_id") -> DataFrame:

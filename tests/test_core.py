@@ -276,6 +276,14 @@ def test_directional_baseline_takes_the_better_side(spark):
     assert (row["score"], row["matches"], row["direction"]) == (0.8, True, "right_source_formula")
 
 
+def test_a_pair_without_formula_keeps_its_baseline(spark):
+    rows = frame(spark, person("a1", "A", eng_firstname="Tai"), person("b1", "B", eng_firstname="Tai"), person("c1", "C", eng_firstname="Tai"))
+    registrations = spark.createDataFrame([("A", '@EnglishMatch("eng_firstname")*0.8 > 0.5'), ("B", None)], "source string, fuzzymachingscript string")
+    pairs = spark.createDataFrame([("a1", "b1", "A", "B", 0.1, False), ("b1", "c1", "B", "C", 0.7, True)], "left_id string, right_id string, left_source string, right_source string, score double, matches boolean")
+    got = {r["left_id"]: (r["score"], r["matches"], r["direction"]) for r in formula_match.baseline_with_formulas(pairs, rows, registrations).collect()}
+    assert got == {"a1": (0.8, True, "left_source_formula"), "b1": (0.7, True, "default")}
+
+
 def test_registered_queries_keep_blocks_above_200(spark, tmp_path):
     rows = frame(spark, *(person(f"{s}{i:03d}", s, eng_surname="CHAN", eng_firstname=f"Tai M{i}") for s in "AB" for i in range(130)))
     at = written(tmp_path, ccd_master=rows, ccd_registration=spark.createDataFrame([("A", "Local", "")], "source string, identifier_scope string, fuzzymachingscript string"))
@@ -293,6 +301,13 @@ def test_sample_covers_strata_and_repeats(spark):
     assert sampling.stratified_sample(df, 0, "x").count() == 0
 
 
+def test_a_pair_drawn_twice_represents_its_stratum_once(spark):
+    rows = [("a", "b", "s", i) for i in range(9)] + [(f"l{i}", f"r{i}", f"t{i}", 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "left_id string, right_id string, stratum string, n int")
+    got = sampling.stratified_sample(df, 6, "x").collect()
+    assert {r["stratum"] for r in got} == {"s", *(f"t{i}" for i in range(5))}
+
+
 def test_training_sample_keeps_what_is_required(spark):
     records = spark.createDataFrame([(f"R{i}",) for i in range(100)], "record_id string")
     required = spark.createDataFrame([("R95",), ("R96",), ("nope",)], "record_id string")
