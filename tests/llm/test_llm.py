@@ -173,6 +173,23 @@ def test_transitivity_is_enforced(spark):
     assert got[4, 5] * got[5, 6] <= got[4, 6] + 1e-9
 
 
+def test_groups_settle_alike_in_one_go_and_by_joins(spark):
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        n = rng.randrange(3, 7)
+        rows += [(100 * g, 100 * g + i, 100 * g + j, 0, rng.choice([0.02, 0.3, 0.55, 0.8, 0.97, 0.99])) for i in range(n) for j in range(i + 1, n)]
+    df = spark.createDataFrame(rows, "group bigint, l bigint, r bigint, v int, p double")
+    one, two = ({(r["l"], r["r"]): r["p"] for r in mixture.hold(df, Stage(spark, "t"), small=k).collect()} for k in (2_000, 0))
+    assert one.keys() == two.keys() == {(a, b) for _, a, b, _, _ in rows}
+    assert all(one[k] == pytest.approx(two[k]) for k in one)
+    for (i, j), p in one.items():
+        for k in {x for pair in one for x in pair} - {i, j}:
+            a, b = one.get((min(i, k), max(i, k))), one.get((min(j, k), max(j, k)))
+            if a is not None and b is not None and p < mixture.SURE and min(a, b) > 0.5:
+                assert a * b <= p + 2 * mixture.AT_REST
+
+
 # problem 3
 
 
