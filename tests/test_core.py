@@ -117,7 +117,7 @@ def test_kernels():
 
 
 def test_policy_maps_disables_and_round_trips(spark):
-    p = policies.Policy(profiles=(policies.SourceProfile("A", {"phone": "mobile"}, {"hkid": "global"}, ("email",)),), trusted=("hkid",))
+    p = policies.Policy(rules=(policies.Rule("A", "phone", "mobile"), policies.Rule("A", "hkid", scope="global"), policies.Rule("A", "email", enabled=False)), trusted=("hkid",))
     p.validate()
     assert policies.Policy.from_json(p.to_json()) == p
     df = spark.createDataFrame([("A", "1", "2", "a@b.c"), ("B", "1", "2", "a@b.c")], "source string, phone_num string, mobile string, email string")
@@ -125,6 +125,9 @@ def test_policy_maps_disables_and_round_trips(spark):
     assert [tuple(r) for r in rows] == [("A", "2", None, True), ("B", "1", "a@b.c", False)]
     with pytest.raises(ValueError):
         policies.Policy(trusted=("phone",)).validate()
+    with pytest.raises(ValueError):
+        policies.Policy(rules=(policies.Rule("A", "phone", "mobile"), policies.Rule("A", "phone", "phone_num"))).validate()
+    assert p.sources == ("A",)
 
 
 def test_registration_rows_take_the_least_rank(spark):
@@ -187,7 +190,7 @@ def test_levels(spark):
 
 
 NAMED = {"chi_surname": "測", "chi_firstname": "試甲", "eng_surname": "EXAMPLE", "eng_firstname": "Person Alpha"}
-GLOBAL = policies.Policy(profiles=tuple(policies.SourceProfile(s, {}, {"hkid": "global"}) for s in "AB"), trusted=("hkid",))
+GLOBAL = policies.Policy(rules=tuple(policies.Rule(s, "hkid", scope="global") for s in "AB"), trusted=("hkid",))
 
 
 @pytest.mark.parametrize(
