@@ -486,7 +486,8 @@ def decided_likeness(pairs: DataFrame, profiles: DataFrame):
     email = F.when(_missing("m"), MISSING).when(equal["m"], 100).when(_single("m"), F.when(stem[0] == stem[1], 60)).when(F.arrays_overlap(F.split("m1", ";"), F.split("m2", ";")), 100)
     birthday = F.when(_missing("b"), MISSING).when(equal["b"], 100).when(_single("b"), _decided_birthday()).when(F.arrays_overlap(F.split("b1", ";"), F.split("b2", ";")), 100)
     several = [(_spellings(f"{x}1") * _spellings(f"{x}2")).alias(f"n_{f}") for x, f in (("p", "phone"), ("m", "email"), ("b", "birthday"))]
-    several.append(F.when(_missing("c"), _spellings("e1") * _spellings("e2")).otherwise(_spellings("c1") * _spellings("c2")).alias("n_name"))
+    # romanised spellings are mostly variants of each other, so fewer of them count
+    several.append(F.when(_missing("c"), F.sqrt(_spellings("e1") * _spellings("e2"))).otherwise(_spellings("c1") * _spellings("c2")).alias("n_name"))
     texts = [f"{x}{i}" for x in "cemb" for i in (1, 2)]
     decided = both.select("l", "r", *several, *texts, name.alias("name"), phone.alias("phone"), email.alias("email"), birthday.alias("birthday"))
 
