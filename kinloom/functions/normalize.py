@@ -75,9 +75,14 @@ def initials(words: Column) -> Column:
     return F.array_join(F.transform(F.split(words, " "), lambda w: F.left(w, F.lit(1))), "")
 
 
+def beyond_ascii(c: Column) -> Column:
+    """Whether a text takes more bytes than characters."""
+    return F.octet_length(c) > F.length(c)
+
+
 def fold_width(c: Column) -> Column:
     """Full-width ASCII in its plain form; plain text, nearly all there is, is left alone."""
-    return F.when(c.rlike(r"[^\x{0}-\x{7F}]"), F.translate(c, *width_fold())).otherwise(c)
+    return F.when(beyond_ascii(c), F.translate(c, *width_fold())).otherwise(c)
 
 
 def phone(c: Column) -> Column:
