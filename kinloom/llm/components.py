@@ -62,7 +62,7 @@ def contracted_groups(edges: DataFrame, left: str, right: str, stage: Stage) ->
         ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = stage.write(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("vertex"), F.least("a", "m").alias("group")))
         steps.append(near)
-        one, two = (near.select(F.col("vertex").alias(x), F.col("group").alias(f"g{x}")) for x in "ab")
+        one, two = (near.select(F.col("vertex").alias(x), F.col("group").alias(f"g{x}")).hint("shuffle_hash") for x in "ab")
         up = links.join(one, "a").join(two, "b").filter("ga <> gb").select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
         before, drawn = drawn, stage.write(up)
         stage.drop(before)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.characters import han_fold, latin_fold, pinyin_table, simplified_table
-from kinloom.functions.normalize import birthday_date
+from kinloom.functions.normalize import beyond_ascii, birthday_date
 from kinloom.llm.likeness import MISSING, open_likeness
 from kinloom.llm.survivor import usable_phone
 from kinloom.sources.stage import Stage
@@ -37,14 +37,14 @@ def _han_name(spark, surname: Column, given: Column) -> Column:
 
 def _roman(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
-    plain = F.lower(F.when(text.rlike(r"[^\x{0}-\x{7F}]"), F.translate(text, *latin_fold())).otherwise(text))
+    plain = F.lower(F.when(beyond_ascii(text), F.translate(text, *latin_fold())).otherwise(text))
     return F.when(plain.rlike("[^a-z]"), F.trim(F.regexp_replace(plain, "[^a-z]+", " "))).otherwise(plain)
 
 
 def _email_name(c: Column) -> Column:
     """Local part in lower case without punctuation; blank for placeholders."""
     low = F.lower(F.trim(c))
-    local = F.regexp_replace(F.regexp_extract(low, r"^[^@(\s,;]*", 0), r"[._\-]", "")
+    local = F.translate(F.regexp_extract(low, r"^[^@(\s,;]*", 0), "._-", "")
     return F.when((F.length(local) >= 5) & low.rlike(r"[@0-9]|\(at\)"), local)
 
 
@@ -402,7 +402,7 @@ def candidate_pairs(profiles: DataFrame, stage: Stage, *, bound: int = BLOCK_BOU
             waiting = rows.join(few, "key", "left_semi").select("key", "id")
             rows = rows.join(few, "key", "left_anti")
         ordered = rows.select("key", "id").repartition("key").sortWithinPartitions("key")
-        cut = stage.write(ordered.mapInArrow(_pairs_in_runs(bound), "l bigint, r bigint, large boolean"))
+        cut = stage.write(ordered.mapInArrow(_pairs_in_runs(bound), "l bigint, r bigint, large boolean"), compression="snappy")
         found.append(cut.filter("NOT large").select("l", "r"))
         over = cut.filter("large").select(F.col("l").alias("key"), F.col("r").alias("id"))
         if not n and over.isEmpty():
