@@ -454,3 +454,18 @@ def test_residue_in_a_very_long_text():
     text = "A plain line that says something about the desk.\n" * 20000
     assert residue.residue_share(text, VOCABULARY) == 0
     assert 0 < residue.residue_share(text + "HTTP 500 - Internal error", VOCABULARY) < 0.001
+
+
+def test_likeness_of_pairs_is_compiled(spark):
+    """The JVM compiles no method above 8,000 bytes; the step from pairs to what is open about them stays below."""
+    profiles = spark.createDataFrame([(1, "陈大文", "chan|tai man", "51234567", "taimanchan", "19800102"), (2, "陈大文", "", "", "", "19800102;19810102")], PEOPLE)
+    pairs = spark.createDataFrame([(1, 2)], "l bigint, r bigint")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        judged = rematch._judged(pairs, profiles)
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        code = debug.codegenStringSeq(judged._jdf.queryExecution().executedPlan())
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert judged.filter(f"w >= {rematch.ENOUGH}").count() == 1
