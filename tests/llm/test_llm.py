@@ -469,3 +469,14 @@ def test_likeness_of_pairs_is_compiled(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert judged.filter(f"w >= {rematch.ENOUGH}").count() == 1
+
+
+def test_holders_of_a_common_phone_stay_candidates(spark, monkeypatch):
+    """Two spellings of a person meet by nothing but a phone that hundreds hold; it is no evidence, their names and birthdays are."""
+    monkeypatch.setattr(people, "COMMON", 100)
+    digits = str.maketrans("0123456789", "bdfghjklmp")
+    crowd = [row(f"R{i}", "A", f"k{i}", eng_surname=f"{i:03d}".translate(digits) * 2, eng_firstname=f"o{i * 7:04d}u".translate(digits), phone_num="51234567") for i in range(400)]
+    one, other = dict(eng_surname="Chan", eng_firstname="Tai Man", birthday="1980-01-02"), dict(eng_surname="Chan", eng_firstname="Taiman", birthday="1980-02-01")
+    rows = [*crowd, row("X", "A", "x", **one, phone_num="51234567"), row("Y", "A", "y", **other, phone_num="51234567"), row("Z", "B", "z", **other, phone_num="51234567")]
+    assert ("X", "Y") in {tuple(r) for r in rematch.same_source_variants(master(spark, *rows)).collect()}
+    assert ("X", "Z") in {tuple(r) for r in mixture.cross_source_matches(master(spark, *rows)).collect()}
