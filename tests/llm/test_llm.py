@@ -480,3 +480,9 @@ def test_holders_of_a_common_phone_stay_candidates(spark, monkeypatch):
     rows = [*crowd, row("X", "A", "x", **one, phone_num="51234567"), row("Y", "A", "y", **other, phone_num="51234567"), row("Z", "B", "z", **other, phone_num="51234567")]
     assert ("X", "Y") in {tuple(r) for r in rematch.same_source_variants(master(spark, *rows)).collect()}
     assert ("X", "Z") in {tuple(r) for r in mixture.cross_source_matches(master(spark, *rows)).collect()}
+
+
+def test_survivors_by_priority_run_no_vote(spark):
+    """A stage that cannot change the result is not run: no Python, and one shuffle."""
+    plan = survivor.surviving_contacts(master(spark, row("1", "A", "k"), row("2", "A", "k")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Join" not in plan
