@@ -164,6 +164,19 @@ def test_large_blocks_are_reported_without_values(spark):
     assert blocking.candidate_pairs(records, policy).count() == 0
 
 
+def test_pairs_come_once_without_an_aggregation_over_pairs(spark):
+    rows = [person("r1", "A", email="a@b.hk", phone_num="91234567"), person("r2", "B", email="a@b.hk", phone_num="91234567"), person("r3", "C", phone_num="91234567")]
+    rows += [person("r3", "C", email="a@b.hk"), person("r3", "A", birthday="1990-01-01")]  # an id of three rows, two of one source
+    policy = policies.Policy()
+    records = canonical.with_pinyin(canonical.canonical_records(frame(spark, *rows), policy))
+    pairs = blocking.candidate_pairs(records, policy)
+    got = sorted((r["left_id"], r["right_id"], r["left_source"], r["right_source"], "+".join(r["routes"])) for r in pairs.collect())
+    assert got == [("r1", "r2", "A", "B", "email+phone"), ("r1", "r3", "A", "C", "email+phone"), ("r2", "r3", "B", "C", "email+phone")]
+    alone = blocking.candidate_pairs(records.filter("record_id <> 'r3'"), policy)
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan.split("Join")[0]
+
+
 def test_cap_is_in_a_fixed_order(spark):
     rows = [person(f"{s}{i}", s, phone_num="22222222") for s in "AB" for i in range(3)]
     pairs, _ = pairs_of(spark, policies.Policy(), *rows)
