@@ -184,6 +184,27 @@ def test_cap_is_in_a_fixed_order(spark):
     assert [(r["left_id"], r["right_id"], r["truncated"]) for r in capped] == [("A0", "B0", True), ("A0", "B1", True)]
 
 
+def _crowd(spark, policy):
+    values = [dict(phone_num=f"9{i % 3}234567", email=f"e{i % 4}@b.hk", eng_surname="CHAN", eng_firstname=["Tai Man", "Man Tai", f"Ta {i}"][i % 3], chi_surname="陳", chi_firstname="大" if i % 2 else None, hksr_num=str(i % 5)) for i in range(24)]
+    rows = [person(f"r{i:02d}", "ABC"[i % 7 % 3], **v) for i, v in enumerate(values)]
+    return canonical.with_pinyin(canonical.canonical_records(frame(spark, *rows), policy)), rows
+
+
+def test_pairs_are_counted_by_route_without_being_made(spark, monkeypatch):
+    policy = policies.Policy()
+    records, _ = _crowd(spark, policy)
+    wanted = {r["routes"]: r["n"] for r in blocking.candidate_pairs(records, policy).groupBy(F.array_join("routes", "+").alias("routes")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    made = []
+    met = blocking.met_pairs
+    monkeypatch.setattr(blocking, "met_pairs", lambda found, slots=None, **more: made.append(slots) or met(found, slots, **more))
+    for walked in (0, 2, 64):
+        monkeypatch.setattr(blocking, "WALKED", walked)
+        made.clear()
+        got = {r["routes"]: r["n"] for r in blocking.route_counts(records, policy).collect()}
+        assert got == wanted
+        assert walked or not made
+
+
 def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     blocks = spark.createDataFrame([("phone", "a", 4, 4), ("phone", "b", 9, 9), ("phone", "c", 3, 2)], "route string, value string, n_records bigint, n_pairs bigint")
     assert blocking.within_budget(blocks, ["phone"], max_block=100, budget=7) == [("phone", "a"), ("phone", "c")]
