@@ -205,6 +205,20 @@ def test_pairs_are_counted_by_route_without_being_made(spark, monkeypatch):
         assert walked or not made
 
 
+def test_first_pairs_make_few_pairs_behind_the_cap(spark, monkeypatch):
+    records, _ = _crowd(spark, policies.Policy())
+    made = []
+    met = blocking.met_pairs
+    monkeypatch.setattr(blocking, "met_pairs", lambda *x, **more: made.append(out := met(*x, **more)) or out)
+    for most in (3, 60, 100, 10_000):
+        policy = policies.Policy(max_pairs=most)
+        wanted = [tuple(r) for r in blocking.capped_pairs(blocking.candidate_pairs(records, policy), policy).collect()]
+        made.clear()
+        assert [tuple(r) for r in blocking.first_pairs(records, policy).collect()] == wanted
+        if most == 3:
+            assert sum(m.count() for m in made) < 24
+
+
 def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     blocks = spark.createDataFrame([("phone", "a", 4, 4), ("phone", "b", 9, 9), ("phone", "c", 3, 2)], "route string, value string, n_records bigint, n_pairs bigint")
     assert blocking.within_budget(blocks, ["phone"], max_block=100, budget=7) == [("phone", "a"), ("phone", "c")]
