@@ -219,6 +219,18 @@ def test_first_pairs_make_few_pairs_behind_the_cap(spark, monkeypatch):
             assert sum(m.count() for m in made) < 24
 
 
+def test_names_of_equal_words_meet_by_their_words(spark):
+    policy = policies.Policy()
+    records, _ = _crowd(spark, policy)
+    names = records.select("record_id", "eng_full")
+    pairs = blocking.candidate_pairs(records, policy).join(names.toDF("left_id", "a"), "left_id").join(names.toDF("right_id", "b"), "right_id")
+    wanted = {(r["a"], r["b"]) for r in pairs.collect() if r["a"] != r["b"] and sorted(r["a"].split()) == sorted(r["b"].split())}
+    words = F.array_join(F.array_sort(F.split("eng_full", " ")), " ")
+    got = blocking.met_texts(records, policy, "eng_full", words)
+    assert len(wanted) == 2 and {(r["a"], r["b"]) for r in got.collect()} == wanted
+    assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     blocks = spark.createDataFrame([("phone", "a", 4, 4), ("phone", "b", 9, 9), ("phone", "c", 3, 2)], "route string, value string, n_records bigint, n_pairs bigint")
     assert blocking.within_budget(blocks, ["phone"], max_block=100, budget=7) == [("phone", "a"), ("phone", "c")]
