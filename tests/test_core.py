@@ -354,6 +354,16 @@ def test_registered_queries_keep_blocks_above_200(spark, tmp_path):
     assert linkage.q_pairs_multi_route(spark, at).count() == 130 * 130
 
 
+def test_evidence_is_gathered_only_where_a_conflict_can_be(spark, tmp_path, monkeypatch):
+    same = dict(eng_surname="CHAN", eng_firstname="Tai Man", phone_num="91234567")
+    rows = frame(spark, person("r1", "A", hkid="A1234563", **same), person("r2", "B", hkid="B1234560", **same), person("r3", "C", **same))
+    scopes = {"global": ["Global", "Global", ""], "local": ["Global", "Local", ""]}
+    at = {k: written(tmp_path / k, ccd_master=rows, ccd_registration=spark.createDataFrame([(s, x, "") for s, x in zip("ABC", v, strict=True)], "source string, identifier_scope string, fuzzymachingscript string")) for k, v in scopes.items()}
+    assert {tuple(r) for r in linkage.q_cluster_conflicts(spark, at["global"]).collect()} == {("r1", "r2"), ("r1", "r3"), ("r2", "r3")}
+    monkeypatch.setattr(evidence, "pair_evidence", None)
+    assert linkage.q_cluster_conflicts(spark, at["local"]).collect() == []
+
+
 # sampling, metrics, review, clusters, profiling
 
 
