@@ -354,6 +354,20 @@ def test_registered_queries_keep_blocks_above_200(spark, tmp_path):
     assert linkage.q_pairs_multi_route(spark, at).count() == 130 * 130
 
 
+def test_exact_evidence_comes_with_the_pairs(spark, tmp_path):
+    rows = [person("r1", "A", phone_num="91234567", email="a@b.hk"), person("r2", "B", phone_num="91234567", email="c@b.hk"), person("r3", "C", phone_num="91234567", birthday="1990-01-01"), person("r3", "C", phone_num="81234567")]
+    registration = spark.createDataFrame([("A", "Local", "")], "source string, identifier_scope string, fuzzymachingscript string")
+    at = written(tmp_path, ccd_master=frame(spark, *rows), ccd_registration=registration)
+    got = sorted((r["left_id"], r["right_id"], r["phone"], r["email"], r["birthday"]) for r in linkage.q_evidence_exact(spark, at).collect())
+    assert got == [
+        ("r1", "r2", "exact", "disagree", "missing"), ("r1", "r3", "disagree", "missing", "missing"), ("r1", "r3", "exact", "missing", "missing"),
+        ("r2", "r3", "disagree", "missing", "missing"), ("r2", "r3", "exact", "missing", "missing"),
+    ]
+    at = written(tmp_path / "own", ccd_master=frame(spark, *rows[:2]), ccd_registration=registration)
+    plan = linkage.q_evidence_exact(spark, at)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_evidence_is_gathered_only_where_a_conflict_can_be(spark, tmp_path, monkeypatch):
     same = dict(eng_surname="CHAN", eng_firstname="Tai Man", phone_num="91234567")
     rows = frame(spark, person("r1", "A", hkid="A1234563", **same), person("r2", "B", hkid="B1234560", **same), person("r3", "C", **same))
