@@ -32,13 +32,18 @@ def level(name: str, thresholds: tuple[float, ...], a: Column, b: Column) -> Col
     return out.otherwise(0)
 
 
+def level_columns() -> list[Column]:
+    """``g_<comparison>`` of sides ``l_`` and ``r_`` in one row."""
+    return [level(n, t, F.col(f"l_{n}"), F.col(f"r_{n}")).alias(f"g_{n}") for n, t in COMPARISONS]
+
+
 def levels(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """``pairs`` (left_id, right_id) with ``g_<comparison>`` levels."""
     names = [n for n, _ in COMPARISONS]
     left = records.select(F.col("record_id").alias("left_id"), *(F.col(n).alias(f"l_{n}") for n in names))
     right = records.select(F.col("record_id").alias("right_id"), *(F.col(n).alias(f"r_{n}") for n in names))
     both = pairs.join(left, "left_id").join(right, "right_id")
-    return both.select(*pairs.columns, *(level(n, t, F.col(f"l_{n}"), F.col(f"r_{n}")).alias(f"g_{n}") for n, t in COMPARISONS))
+    return both.select(*pairs.columns, *level_columns())
 
 
 def pattern_counts(leveled: DataFrame) -> DataFrame:
