@@ -2,18 +2,22 @@
 
 Levels: -1 missing, 0 different, then one for each threshold reached.  Pairs are
 counted by their pattern of levels in one distributed pass; the fit runs over these
-few counts on the driver.
+few counts on the driver.  Pairs that meet in blocks are counted block by block and
+never leave the task that makes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.functions.strings import column, jaro_winkler
+from kinloom.functions.strings import JaroWinkler, column, jaro_winkler
+from kinloom.operators import blocking
 
 #: Comparisons with their Jaro-Winkler thresholds (equality alone where there are none).
 COMPARISONS = (("chi_full", (0.85, 0.95)), ("eng_full", (0.80, 0.88, 0.95)), ("birthday", ()), ("phone", ()), ("email", ()))
@@ -51,6 +55,113 @@ def pattern_counts(leveled: DataFrame) -> DataFrame:
     return leveled.groupBy(*(f"g_{n}" for n, _ in COMPARISONS)).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Levels of each comparison, -1 among them.
+_LEVELS = tuple(len(t) + 3 for _, t in COMPARISONS)
+#: Pairs gone through at once, rows gathered at least before.
+CHUNK, GATHERED = 1_000_000, 20_000
+
+
+def _reached(thresholds: tuple[float, ...], score: JaroWinkler, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Thresholds that pairs of values reach; values that meet often are compared once."""
+    (lefts, x), (rights, y) = (_places(v, len(score.texts)) for v in (a, b))
+    if len(lefts) * len(rights) > 4 * len(a):
+        return np.searchsorted(np.array(thresholds), score(a, b), side="right")
+    at, known = x * len(rights) + y, np.zeros(len(lefts) * len(rights), np.int8)
+    known[at] = 1
+    asked = np.flatnonzero(known)
+    known[asked] = np.searchsorted(np.array(thresholds), score(lefts[asked // len(rights)], rights[asked % len(rights)]), side="right")
+    return known[at]
+
+
+def _places(v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers (below ``n``) of ``v``, and the place of each among them."""
+    held = np.zeros(n, bool)
+    held[v] = True
+    return np.flatnonzero(held), (np.cumsum(held) - 1)[v]
+
+
+def _block_counts(table: pa.Table) -> np.ndarray:
+    """Pairs of each pattern (a number in base ``_LEVELS``) among the rows of whole blocks, which are ordered by block and id."""
+    n, slot = table.num_rows, table.column("slot").to_numpy()
+    kid, rows = table.column("kid").to_numpy(), np.arange(table.num_rows)
+
+    def coded(c: str) -> tuple[np.ndarray, list[str]]:
+        whole = pa.array(table.column(c).to_pylist(), pa.string()).dictionary_encode()
+        return whole.indices.fill_null(-1).to_numpy(zero_copy_only=False), whole.dictionary.to_pylist()
+
+    source, values = coded("source")[0], {c: coded(c) for c, _ in COMPARISONS}
+    scores = {c: JaroWinkler(values[c][1]) for c, t in COMPARISONS if t}
+    earlier = []  # the blocks of a row before this one; none is like no other
+    for i in range(int(slot.max())):
+        own = table.column(f"k{i}").combine_chunks()
+        used = own.is_valid().to_numpy(zero_copy_only=False) & (slot > i)
+        if used.any():
+            earlier.append(np.where(used, own.fill_null(0).to_numpy(), -1 - rows))
+
+    def counted(l: np.ndarray, r: np.ndarray) -> np.ndarray:
+        met = source[l] != source[r]
+        for k in earlier:
+            met &= k[l] != k[r]
+        l, r = l[met], r[met]
+        pattern = np.zeros(len(l), np.int64)
+        for (c, thresholds), base in zip(COMPARISONS, _LEVELS, strict=True):
+            a, b = values[c][0][l], values[c][0][r]
+            level = np.where(a == b, len(thresholds) + 1, 0)
+            if thresholds:
+                asked = np.flatnonzero((a != b) & (a >= 0) & (b >= 0))
+                level[asked] = _reached(thresholds, scores[c], a[asked], b[asked])
+            level[(a < 0) | (b < 0)] = -1
+            pattern = pattern * base + level + 1
+        return np.bincount(pattern, minlength=int(np.prod(_LEVELS)))
+
+    partners = np.searchsorted(kid_ends := np.append(np.flatnonzero(np.diff(kid)) + 1, n), rows, side="right")
+    partners = kid_ends[partners] - rows - 1
+    before = np.cumsum(partners) - partners
+    total, at = np.zeros(int(np.prod(_LEVELS)), np.int64), 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(before, before[at] + CHUNK, side="right")) - 1)
+        own = partners[at:end]
+        l = np.repeat(rows[at:end], own)
+        r = np.arange(len(l)) - np.repeat(before[at:end] - before[at], own) + l + 1
+        total += counted(l, r)
+        at = end
+    return total
+
+
+def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mapInArrow`` function over rows in order of block and id: (pattern, n) of the pairs within blocks."""
+    total, held, waiting = np.zeros(int(np.prod(_LEVELS)), np.int64), [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        waiting += batch.num_rows
+        if waiting < GATHERED:
+            continue
+        table = pa.Table.from_batches(held)
+        kid = table.column("kid").to_numpy()
+        end = int(np.searchsorted(kid, kid[-1]))  # the last block may go on
+        if end:
+            total += _block_counts(table.slice(0, end))
+        held, waiting = table.slice(end).combine_chunks().to_batches(), table.num_rows - end
+    if waiting:
+        total += _block_counts(pa.Table.from_batches(held))
+    known = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total[known])], names=["pattern", "n"])
+
+
+def met_pattern_counts(found: blocking.Blocks) -> DataFrame:
+    """(g_..., n): pattern counts of the pairs of records with ids of their own that meet in a block of ``found``, which carries the comparisons."""
+    placed = blocking.spread(found.members, range(len(blocking.SLOTS)), found.tasks()).sortWithinPartitions("kid", "record_id")
+    wanted = placed.select("kid", "slot", "source", *(f"k{i}" for i in range(len(blocking.SLOTS))), *(c for c, _ in COMPARISONS))
+    patterns = wanted.mapInArrow(_count_blocks, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    levels_of, weight = [], 1
+    for (c, _), base in zip(reversed(COMPARISONS), reversed(_LEVELS), strict=True):
+        levels_of.insert(0, (F.floor(F.col("pattern") / F.lit(weight)).cast("int") % base - 1).alias(f"g_{c}"))
+        weight *= base
+    return patterns.select(*levels_of, "n")
+
+
 def random_pairs(records: DataFrame, most: int = RANDOM_PAIRS) -> DataFrame:
     """Pairs of different sources that met by chance: records are dealt into lots by the hash of their id.
 

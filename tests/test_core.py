@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,6 +449,33 @@ def test_profile_and_overlap(spark):
     assert shared["hkid"] == 1 and shared["email"] == 0 and len(shared) == 9
 
 
+def test_many_jaro_winklers_are_the_same_numbers(monkeypatch):
+    import random
+
+    from kinloom.functions import strings
+
+    draw = random.Random(3)
+    texts = ["", "a", "b", "ab" * 40, "martha", "marhta", "陳大文", "陳文大", "大文陳", "𠀀a", "x" * 64]
+    texts += sorted({"".join(draw.choice("ab c陳") for _ in range(draw.randint(1, 20))) for _ in range(60)} - set(texts))
+    l, r = (np.array(x) for x in zip(*((i, j) for i in range(len(texts)) for j in range(len(texts))), strict=True))
+    wanted = [jaro_winkler(texts[i], texts[j]) for i, j in zip(l, r, strict=True)]
+    for table in (strings._TABLE, 0):
+        monkeypatch.setattr(strings, "_TABLE", table)
+        assert strings.JaroWinkler(texts)(l, r).tolist() == wanted
+
+
+def test_patterns_of_blocks_are_those_of_the_pairs(spark, monkeypatch):
+    names = [("Chan", "Ka Ming"), ("Chan", "Ka Min"), ("Chan", "Kaming"), ("Chan", "Kai"), ("Wong", "Ka"), (None, None)]
+    rows = [person(f"r{i:03d}", "ABC"[i % 3], eng_surname=n[0], eng_firstname=n[1], chi_surname="陳" if i % 2 else None, chi_firstname="大文"[: i % 3], phone_num=f"9123456{i % 4}", email=f"p{i % 5}@x.hk", birthday=f"199{i % 2}-01-02") for i in range(60) for n in [names[i * 7 % 6]]]
+    records = canonical.canonical_records(frame(spark, *rows), policies.policy_from_rows([], name="p")).withColumns({f"{c}_pinyin": F.lit(None).cast("string") for c in ("chi_surname", "chi_firstname")})
+    p = policies.policy_from_rows([], name="p")
+    wanted = fellegi.pattern_counts(fellegi.levels(blocking.candidate_pairs(records, p).select("left_id", "right_id"), records))
+    for chunk in (fellegi.CHUNK, 50):
+        monkeypatch.setattr(fellegi, "CHUNK", chunk)
+        got = fellegi.met_pattern_counts(blocking.blocks(records, p, tuple(n for n, _ in fellegi.COMPARISONS)))
+        assert got.columns == wanted.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_fellegi_sunter_ranks_agreement(spark):
     rows = [person(f"{s}{i:03d}", s, eng_surname="CHAN", eng_firstname=f"N{i} M{i * 7 % 13}", phone_num=f"{90000000 + i}", email=f"p{i}@x.y", birthday=f"19{50 + i % 40}-01-0{1 + i % 9}") for i in range(200) for s in "AB"]
     records = canonical.with_pinyin(canonical.canonical_records(frame(spark, *rows), policies.Policy()))
