@@ -464,6 +464,18 @@ def test_many_jaro_winklers_are_the_same_numbers(monkeypatch):
         assert strings.JaroWinkler(texts)(l, r).tolist() == wanted
 
 
+def test_jaro_winkler_of_columns_with_nulls():
+    import pyarrow as pa
+
+    from kinloom.functions import strings
+
+    a, b = pa.array(["martha", None, "a", "", "陳大文"], pa.string()), pa.array(["marhta", "b", None, "", "陳文大"], pa.string())
+    wanted = [None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    assert strings._jaro_winklers(a, b).to_pylist() == wanted
+    assert strings._jaro_winklers(a[:0], b[:0]).to_pylist() == []
+    assert strings._jaro_winklers(pa.array([None], pa.string()), b[:1]).to_pylist() == [None]
+
+
 def test_patterns_of_blocks_are_those_of_the_pairs(spark, monkeypatch):
     names = [("Chan", "Ka Ming"), ("Chan", "Ka Min"), ("Chan", "Kaming"), ("Chan", "Kai"), ("Wong", "Ka"), (None, None)]
     rows = [person(f"r{i:03d}", "ABC"[i % 3], eng_surname=n[0], eng_firstname=n[1], chi_surname="陳" if i % 2 else None, chi_firstname="大文"[: i % 3], phone_num=f"9123456{i % 4}", email=f"p{i % 5}@x.hk", birthday=f"199{i % 2}-01-02") for i in range(60) for n in [names[i * 7 % 6]]]
