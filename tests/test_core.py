@@ -476,6 +476,20 @@ def test_jaro_winkler_of_columns_with_nulls():
     assert strings._jaro_winklers(pa.array([None], pa.string()), b[:1]).to_pylist() == [None]
 
 
+def test_names_that_may_be_near_are_told_by_numbers_too(spark):
+    english = ["ka ming", "kaming", "ming ka", "k m", "km", "kam ing", "siu fong", "siufong", "sf", "tak wah", "an an", "anan", "x"]
+    chinese = ["大文", "文大", "大", "小明", "明小", "歐陽大文", "歐阳大文", "李", "陳大"]
+    rows = [person(f"r{i}", "AB"[i % 2], eng_firstname=english[i % len(english)], chi_firstname=chinese[i % len(chinese)]) for i in range(26)]
+    records = canonical.canonical_records(frame(spark, *rows), policies.policy_from_rows([], name="p"))
+    for a in ("eng_firstname", "chi_firstname"):
+        values = evidence.numbered_values(records, a, Stage(spark, "test"))
+        tells = evidence._tells(a, values)
+        x, y = (values.select(*(F.col(c).alias(f"{c}_{n}") for c in values.columns)).join(tells.select(*(F.col(c).alias(f"{c}_{n}") for c in tells.columns if c not in ("mask", "further", "n"))), f"i_{n}") for n in "xy")
+        both = x.crossJoin(y).filter("i_x < i_y").select(evidence._may_be_near(a).alias("may"), evidence._tell_near(a).alias("told")).collect()
+        assert not [r for r in both if r["may"] and not r["told"]]
+        assert any(not r["told"] for r in both) and any(r["may"] for r in both)
+
+
 def test_patterns_of_blocks_are_those_of_the_pairs(spark, monkeypatch):
     names = [("Chan", "Ka Ming"), ("Chan", "Ka Min"), ("Chan", "Kaming"), ("Chan", "Kai"), ("Wong", "Ka"), (None, None)]
     rows = [person(f"r{i:03d}", "ABC"[i % 3], eng_surname=n[0], eng_firstname=n[1], chi_surname="陳" if i % 2 else None, chi_firstname="大文"[: i % 3], phone_num=f"9123456{i % 4}", email=f"p{i % 5}@x.hk", birthday=f"199{i % 2}-01-02") for i in range(60) for n in [names[i * 7 % 6]]]
